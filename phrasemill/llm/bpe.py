@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding (operator 1).
 
-Texts are cut at white space into chunks, which the pre-token pattern never crosses; each distinct chunk is split by
-the pattern once, and the distinct pre-tokens are merged together in padded numpy matrices: one row a pre-token,
-rows of about one length in one matrix. Each round every row merges its leftmost pair of minimum rank; pairs are found
+Texts are cut at white space into chunks, which the pre-token pattern never crosses; distinct chunks are split by the
+pattern once, and the distinct pre-tokens are merged together in padded numpy matrices: one row a pre-token, rows
+of about one length in one matrix. Each round every row merges its leftmost pair of minimum rank; pairs are found
 in an open-addressing hash table, finished rows leave the matrix and the others move up.
 
 Results: null and empty texts have no tokens; equal texts have equal ids; a pre-token longer than LONG bytes is merged
@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import ChunkStore, Numbers, ranges
 from .common import map_texts
 
 NONE = np.int32(2**31 - 1)
@@ -29,11 +30,6 @@ NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Cells of one matrix at most.
 CELLS = 1 << 19
-#: Distinct chunks that a worker keeps; beyond that it starts anew.
-KEEP = 150_000
-#: Unicode White_Space: the pattern's \s. Before a white space that follows something else a pre-token always ends.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +68,7 @@ class Vocabulary:
             return cls.from_ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
 
-class Codec:
+class Codec(ChunkStore):
     """Encodes and decodes in one Python process."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -83,13 +79,7 @@ class Codec:
         sizes = np.array([len(t) for t in vocabulary.tokens], np.int64)
         self.token_size, self.token_start = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.start, self.count = np.zeros(KEEP * 2, np.int64), np.zeros(KEEP * 2, np.int64)
+        super().__init__()
 
     # -- merging ------------------------------------------------------------------------------------------------
 
@@ -109,24 +99,28 @@ class Codec:
             todo, key, slot = todo[on], key[on], slot[on] + 1 & len(self.v.keys) - 1
         return out.reshape(left.shape)
 
-    def merge_rows(self, rows: np.ndarray) -> list[np.ndarray]:
-        """BPE of each row of byte ids; the rows end with -1 as padding."""
-        out: list = [None] * len(rows)
+    def merge_rows(self, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """BPE of each row of byte ids, which ends with -1 as padding: parts of (rows, ids of these one after another, ids of each)."""
+        out = []
         index, ids = np.arange(len(rows)), rows
         rank = self.pair_rank(ids[:, :-1], ids[:, 1:])
         while len(index):
-            at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(index), np.int64)
-            best = rank[np.arange(len(index)), at] if rank.shape[1] else np.full(len(index), NONE)
-            over = best == NONE
+            row, width = np.arange(len(index)), ids.shape[1] - 1
+            if width:
+                at = rank.argmin(axis=1)
+                best = rank[row, at]
+                over = best == NONE
+            else:
+                over = np.ones(len(index), bool)
             if over.any():
-                done, size = ids[over], (ids[over] >= 0).sum(axis=1)
-                for i, row, n in zip(index[over].tolist(), done, size.tolist(), strict=True):
-                    out[i] = row[:n]
+                done = ids[over]
+                real = done >= 0
+                out.append((index[over], done[real], real.sum(axis=1)))
+                if over.all():
+                    break
                 going = ~over
                 index, ids, rank, at, best = index[going], ids[going], rank[going], at[going], best[going]
-                if not len(index):
-                    break
-            row, width = np.arange(len(index)), ids.shape[1] - 1
+                row = row[: len(index)]
             # Column at+1 of ids goes, and column at of rank; what is right of it moves up.
             keep = np.ones(ids.shape, bool)
             keep[row, at + 1] = False
@@ -135,10 +129,9 @@ class Codec:
             keep = np.ones(rank.shape, bool)
             keep[row, at] = False
             rank = rank[keep].reshape(-1, width - 1)
-            left = at > 0
-            rank[row[left], at[left] - 1] = self.pair_rank(ids[row[left], at[left] - 1], ids[row[left], at[left]])
-            right = at < width - 1
-            rank[row[right], at[right]] = self.pair_rank(ids[row[right], at[right]], ids[row[right], at[right] + 1])
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < width - 1)
+            r, c = np.concatenate([row[left], row[right]]), np.concatenate([at[left] - 1, at[right]])
+            rank[r, c] = self.pair_rank(ids[r, c], ids[r, c + 1])
         return out
 
     def merge_long(self, word: bytes) -> np.ndarray:
@@ -163,78 +156,43 @@ class Codec:
                 heapq.heappush(heap, (q, k))
         return np.array([x for x, p in zip(ids, part, strict=True) if p is not None], np.int32)
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each pre-token, in the order given."""
-        out: list = [None] * len(words)
-        buckets: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            if (whole := self.ranks.get(word)) is not None:
-                out[i] = np.array([whole], np.int32)
-            elif len(word) > LONG:
-                out[i] = self.merge_long(word)
-            else:
-                n = len(word)
-                buckets.setdefault(n if n <= 24 else -(-n // 16) * 16, []).append(i)
-        for width, members in buckets.items():
-            step = max(1, CELLS // width)
-            for first in range(0, len(members), step):
-                some = members[first : first + step]
-                size = np.array([len(words[i]) for i in some])
-                rows = np.full((len(some), width), -1, np.int32)
-                rows[np.arange(width) < size[:, None]] = self.bytes_id[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
-                for i, ids in zip(some, self.merge_rows(rows), strict=True):
-                    out[i] = ids
-        return out
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after another, ids of each word)."""
+        get = self.ranks.get
+        whole = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        known = np.flatnonzero(whole >= 0)
+        parts = [(known, whole[known].astype(np.int32), np.ones(len(known), np.int64))]
+        for i in np.flatnonzero((whole < 0) & (size > LONG)).tolist():
+            ids = self.merge_long(words[i])
+            parts.append((np.array([i]), ids, np.array([len(ids)])))
+        width = np.where(size <= 24, size, -(-size // 16) * 16)
+        width[(whole >= 0) | (size > LONG)] = 0
+        for w in np.unique(width[width > 0]).tolist():
+            members = np.flatnonzero(width == w)
+            for first in range(0, len(members), max(1, CELLS // w)):
+                some = members[first : first + max(1, CELLS // w)]
+                rows = np.full((len(some), w), -1, np.int32)
+                rows[np.arange(w) < size[some, None]] = self.bytes_id[np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)]
+                parts += [(some[i], ids, n) for i, ids, n in self.merge_rows(rows)]
+        at, ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        count = np.zeros(len(words), np.int64)
+        count[at] = n
+        out = np.empty(len(ids), np.int32)
+        out[ranges((np.cumsum(count) - count)[at], n)] = ids
+        return out, count
 
     # -- texts --------------------------------------------------------------------------------------------------
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds chunks that the worker hasn't met."""
-        split = [[w.encode() for w in self.pattern.findall(c)] for c in chunks]
-        number: dict[bytes, int] = {}
-        for words in split:
-            for w in words:
-                number.setdefault(w, len(number))
-        coded = self.encode_words(list(number))
-        parts = [coded[number[w]] for words in split for w in words]
-        sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        edge = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(w) for w in split])])]
-        total = int(edge[-1])
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if parts:
-            np.concatenate(parts, out=self.flat[self.used : self.used + total])
-        first = len(self.slot)
-        while first + len(chunks) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        self.start[first : first + len(chunks)] = self.used + edge[:-1]
-        self.count[first : first + len(chunks)] = np.diff(edge)
-        self.used += total
-        self.slot.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, edges: text i has ids[edges[i]:edges[i + 1]])."""
-        if len(self.slot) > KEEP:
-            self._reset()
-        pieces = [CHUNK.findall(t) if t else [] for t in texts]
-        new = dict.fromkeys(c for p in pieces for c in p if c not in self.slot)
-        if new:
-            self._learn(list(new))
-        get = self.slot.__getitem__
-        slots = np.fromiter((get(c) for p in pieces for c in p), np.int64, sum(map(len, pieces)))
-        size = self.count[slots]
-        ids = self.flat[ranges(self.start[slots], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids, ends[np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)]
-
-    def count_chunks(self, chunks: list[str]) -> np.ndarray:
-        """Tokens of each chunk of CHUNK."""
-        if len(self.slot) > KEEP:
-            self._reset()
-        new = dict.fromkeys(c for c in chunks if c not in self.slot)
-        if new:
-            self._learn(list(new))
-        return self.count[np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))]
+    def encode_strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers = Numbers()
+        split = [self.pattern.findall(s) for s in strings]
+        slots = numbers.of((w for p in split for w in p), sum(map(len, split)))
+        flat, count = self.encode_words([w.encode() for w in numbers.take()])
+        size = count[slots]
+        ids = flat[ranges((np.cumsum(count) - count)[slots], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(p) for p in split])])]
+        return ids, np.diff(ends), self.token_size[ids]
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all sequences one after another, their edges); ids outside the vocabulary raise IndexError."""
@@ -245,12 +203,6 @@ class Codec:
         return self.token_bytes[ranges(self.token_start[ids], size)], ends[edges]
 
 
-def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0]+1, ... (size[0] numbers), start[1], ..."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _lists(edges: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
 

@@ -1,6 +1,6 @@
 """Edit-aware token counts (operator 9).
 
-A document's chunks (white space and what follows, which pre-tokens never cross) are the leaves' contents of a segment tree; each node
+A document's chunks (pieces that pre-tokens never cross) are the leaves' contents of a segment tree; each node
 holds the characters and tokens below it. An edit descends by characters to the leaves that it touches, together with the one
 before and after where it borders on them; only their text is split and encoded again, and the sums above them are updated.
 
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ARROW, CHUNK, Codec, Vocabulary, _codec
+from .bpe import ARROW, Codec, Vocabulary, _codec
+from .chunks import CHUNK
 from .common import text_slices
 
 #: Chunks of a leaf when a tree is built; a leaf that grows to GROWN times as many has the tree built anew.

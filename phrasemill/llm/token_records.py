@@ -16,6 +16,8 @@ records. Only the id and text columns are read; the id must be an integer and no
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 
@@ -24,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK
+from .chunks import ChunkStore
 from .common import map_texts, materialize, new_path
 
 MASK = 0xA282EAD8
 END = b"\n"
-KEEP = 150_000
 INDEX = "file string, doc_id bigint, place bigint, byte_offset bigint, byte_length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -60,39 +61,49 @@ def frames(content: bytes | memoryview):
         at += n + 17
 
 
-class ChunkEncoder:
-    """Encodes texts with the tokenizers library: each distinct chunk of white space and what follows once.
+class Encoder(ChunkStore):
+    """Encodes texts with the tokenizers library, each distinct chunk once.
 
-    The byte-level pre-tokenizer never joins what stands on both sides of a chunk's start, so the ids of a text are
-    those of its chunks; any other pre-tokenizer or a normalizer would break that, so such files are encoded text by text.
+    That is exact for a byte-level pre-tokenizer without prefix space and normalizer; with any other the library gets the texts
+    one by one.
     """
 
     def __init__(self, content: str) -> None:
-        import json
-
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
         config = json.loads(content)
         before = config.get("pre_tokenizer") or {}
         self.by_chunk = config.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of u32."""
-        if not self.by_chunk:
-            return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.known) > KEEP:
-            self.known = {}
-        pieces = [CHUNK.findall(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(c for p in pieces for c in p if c not in self.known))
-        for first in range(0, len(new), 4096):
-            some = new[first : first + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, np.uint32).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        # A byte-level token has a character for each of its bytes.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.width[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def encode_strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        ids = np.concatenate(rows)
+        return ids, np.array([len(r) for r in rows]), self.width[ids]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if self.by_chunk:
+            return super().encode(texts)
+        rows = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        return np.concatenate(rows) if rows else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(content: str) -> Encoder:
+    """One encoder a worker process: a later task finds it loaded."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if content not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[content] = Encoder(content)
+    return _ENCODERS[content]
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -106,14 +117,12 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, i
     ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def make():
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = ChunkEncoder(shared.value)
-        end = np.array([end_id], np.uint32)
+        coder = _encoder(shared.value)
 
         def work(keys, texts):
-            rows = [frame(k, np.append(np.frombuffer(b, np.uint32), end).astype(kind)) for k, b in zip(keys, coder.encode(texts), strict=True)]
+            ids, edges = coder.encode(texts)
+            ids, edges = ids.astype(kind), edges.tolist()
+            rows = [frame(k, np.append(ids[a:b], kind(end_id))) for k, a, b in zip(keys, edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
         return work

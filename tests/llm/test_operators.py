@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from phrasemill.llm import bpe, components, exact_dedup, langid, ngram_lm, packing, queries, secrets_scan, simhash, token_count, token_records, vector_dedup
+from phrasemill.llm import bpe, chunks, components, exact_dedup, langid, ngram_lm, packing, queries, secrets_scan, simhash, token_count, token_records, vector_dedup
 
 ODD = [None, "", " ", "a", "  \n\t ", "Hello world " * 3, "Hello world " * 3, "é" * 700 + "x" * 3000 + "1" * 400, "it's  O'Neil x　\x1cy", "<|endoftext|> z", "ſecret K", "\U0001f600 é 中文"]
 
@@ -81,12 +81,13 @@ def test_bpe_matrix_and_heap_agree():
     codec = bpe.Codec(queries.byte_vocabulary())
     rng = random.Random(1)
     words = ["".join(rng.choice("abetnos") for _ in range(rng.randint(2, 200))).encode() for _ in range(300)]
-    for word, ids in zip(words, codec.encode_words(words), strict=True):
-        assert codec.merge_long(word).tolist() == ids.tolist()
+    ids, size = codec.encode_words(words)
+    for word, own in zip(words, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+        assert codec.merge_long(word).tolist() == own.tolist()
 
 
 def test_bpe_cache_starts_anew(monkeypatch, encoding):
-    monkeypatch.setattr(bpe, "KEEP", 10)
+    monkeypatch.setattr(chunks, "KEEP", 10)
     codec = bpe.Codec(queries.byte_vocabulary())
     for n in range(50):
         text = " ".join(f"w{n}x{k}" for k in range(30))
