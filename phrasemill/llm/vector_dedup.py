@@ -1,9 +1,8 @@
 """Near-duplicate vectors by product quantisation (operator 6).
 
 Vectors are dealt to inverted lists by their nearest coarse centroid; the residual is coded by the nearest of 256 codes
-in each of SUBSPACES subspaces. A query goes to its own list and every list whose boundary with it is nearer than `margin`: a
-neighbour across a boundary is at least that far off in the direction of the boundary, and the limit is several standard deviations of
-that distance for a pair at the threshold. In a list, distances to codes come from the query's lookup tables; a vector is
+in each of SUBSPACES subspaces. A query goes to its own list and every list whose boundary with it is nearer than DEVIATIONS
+standard deviations of what a pair at the threshold differs by in one direction; a neighbour behind the boundary is farther off. In a list, distances to codes come from the query's lookup tables; a vector is
 left out only where that distance, less the vector's own coding error, shows it to be beyond the threshold. What
 remains is compared in double precision.
 
@@ -34,8 +33,9 @@ SUBSPACES = 8
 CODES = 256
 #: Inverted lists: 2 * sqrt(vectors) of them, within these bounds; the table of centroids is broadcast.
 LISTS = (8, 2048)
-#: How far behind the boundary of another list a query still looks for neighbours.
-MARGIN = 0.2
+#: A query looks for neighbours this many standard deviations behind the boundary of another list. A pair at the threshold is
+#: sqrt(2 - 2 * cosine) apart, of which any one direction has that over sqrt(d) as its standard deviation.
+DEVIATIONS = 2.5
 #: Vectors and queries of a block.
 MEMBERS, QUERIES = 2048, 16_384
 
@@ -102,7 +102,9 @@ def padded(x: np.ndarray) -> np.ndarray:
 
 def unit(column: pa.Array) -> np.ndarray:
     """Rows of a list column as unit vectors, padded."""
-    x = np.array(column.to_pylist(), np.float64)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return padded(x / np.sqrt((x**2).sum(axis=1))[:, None])
 
 
@@ -117,10 +119,14 @@ def links_of(index: Index, members: dict, queries: dict, cosine: float) -> tuple
     # |q - y|^2 = |q|^2 + |c + r|^2 - 2 q.c - 2 q.r: the last term is a sum over the query's table.
     norm = (decoded**2).sum(axis=1)
     own = index.centres[members["list"][0]]
+    used = [np.unique(members["codes"][:, s], return_inverse=True) for s in range(SUBSPACES)]
     for at in range(0, len(counts), 512):
         q = queries["x"][at : at + 512]
-        table = np.einsum("qsd,skd->sqk", q.reshape(len(q), SUBSPACES, -1), index.books)
-        dot = (q @ own)[:, None] + sum(table[s][:, members["codes"][:, s]] for s in range(SUBSPACES))
+        part = q.reshape(len(q), SUBSPACES, -1)
+        dot = np.repeat((q @ own)[:, None], len(exact), axis=1)
+        for s, (codes, place) in enumerate(used):
+            table = part[:, s] @ index.books[s, codes].T
+            dot += np.take(table, place, axis=1)
         i, j = np.nonzero((q**2).sum(axis=1)[:, None] + norm[None] - 2 * dot <= limit[None])
         other = queries["id"][at + i] != members["id"][j]
         i, j = i[other], j[other]
@@ -139,7 +145,7 @@ def valid(vector: F.Column, length: int) -> F.Column:
     return F.coalesce((F.size(vector) == length) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, margin: float = MARGIN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, deviations: float = DEVIATIONS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row a vector: vec_id, n_links (other rows linked with it), component_id (smallest vec_id reachable)."""
     spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"))
@@ -156,10 +162,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, margin: float = MARGIN
     sample = nodes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30) < share).select("v").limit(2 * SAMPLE).toArrow().column("v")
     if not len(sample):
         sample = nodes.select("v").limit(SAMPLE).toArrow().column("v")
+    margin = deviations * ((2 - 2 * cosine) / max(d, 1)) ** 0.5
     lists = int(min(max(2 * total**0.5, LISTS[0]), LISTS[1]))
     # Repeated ids would make one node of different vectors: nodes are numbered by their own row instead.
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "numbered")
-    shared = spark.sparkContext.broadcast(Index.fit(unit(sample.combine_chunks()), lists))
+    shared = spark.sparkContext.broadcast(Index.fit(unit(sample), lists))
 
     def assign(batches):
         index = shared.value
