@@ -130,7 +130,8 @@ def test_simhash_odd(odd):
 
 @pytest.mark.parametrize("radius", [1, 3, 4])
 @pytest.mark.parametrize("bucket", [4096, 8])
-def test_covering_misses_no_link(spark, monkeypatch, radius, bucket):
+@pytest.mark.parametrize("pairs", [False, True])
+def test_covering_misses_no_link(spark, monkeypatch, radius, bucket, pairs):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = random.Random(radius)
     fps = set()
@@ -142,11 +143,40 @@ def test_covering_misses_no_link(spark, monkeypatch, radius, bucket):
                 x ^= 1 << p
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp bigint")
-    found = components.components(simhash.near_links(nodes, radius)).collect()
+    found = components.components(simhash.near_links(nodes, radius, pairs).select("a", "b")).collect()
     find = union([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius])
     assert {r["node"]: r["component"] for r in found} == {x: find(x) for x in signed if find(x) != x}
 
 
+def shingles(text, k=5):
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def test_similar_documents_are_found_and_others_left(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows, groups = [], []
+    for g in range(120):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        for k in range(rng.choice([1, 1, 3])):
+            copy = list(base)
+            for _ in range(int(len(base) * 0.015) if k else 0):
+                copy[rng.randrange(len(copy))] = word()
+            groups.append(g)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, "one very common line of text " * n) for i, n in enumerate((1, 1, 40))] + [(900, None), (901, ""), (902, "ab"), (903, "cd")]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("g", F.lit("x")).repartition(4)).collect()}
+    sets = {d: shingles(t or "") for d, t in rows}
+    wanted = [(a, b) for a in range(len(groups)) for b in range(a) if groups[a] == groups[b] and len(sets[a] & sets[b]) >= 0.82 * len(sets[a] | sets[b])]
+    assert len(wanted) > 60
+    caught = sum(found.get(a, a) == found.get(b, b) for a, b in wanted)
+    assert caught >= 0.95 * len(wanted)
+    assert all(groups[a] == groups[b] for a, b in found.items() if a < len(groups))
+    assert found.get(901) == 900 and 902 not in found and 903 not in found
+    assert simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").where("false")).count() == 0
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(300, 340)] + [(500, 500)]
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
