@@ -25,72 +25,88 @@ EDITS = "array<struct<pos: bigint, removed: bigint, added: string>>"
 
 
 class TokenTree:
-    """Token counts of one text under edits."""
-
-    def __init__(self, codec: Codec, text: str, chunks: list[str] | None = None, counts: np.ndarray | None = None) -> None:
-        self.codec, self.text, self.encoded = codec, text, 0
-        self._build(CHUNK.findall(text) if chunks is None else chunks, counts)
-
-    def _build(self, chunks: list[str], counts: np.ndarray | None = None) -> None:
-        counts = self.codec.count_chunks(chunks) if counts is None else counts
-        self.leaves = max(1, -(-len(chunks) // LEAF))
-        self.base = 1 << (self.leaves - 1).bit_length()
-        self.chars, self.tokens = np.zeros(2 * self.base, np.int64), np.zeros(2 * self.base, np.int64)
-        if chunks:
-            cuts = np.arange(0, len(chunks), LEAF)
-            size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-            self.chars[self.base : self.base + len(cuts)] = np.add.reduceat(size, cuts)
-            self.tokens[self.base : self.base + len(cuts)] = np.add.reduceat(counts, cuts)
-        level = self.base
-        while level > 1:
-            for x in (self.chars, self.tokens):
-                x[level // 2 : level] = x[level : 2 * level : 2] + x[level + 1 : 2 * level : 2]
-            level //= 2
+    """Token counts of one text under edits. An edit comes in two steps, so that a caller can have the chunks of many texts counted at once."""
+
+    def __init__(self, text: str, chunks: list[str], counts: np.ndarray) -> None:
+        self.text, self.encoded = text, 0
+        self._build(chunks, counts)
+
+    @classmethod
+    def of(cls, codec: Codec, text: str) -> TokenTree:
+        chunks = CHUNK.findall(text)
+        return cls(text, chunks, codec.count_chunks(chunks))
+
+    def _build(self, chunks: list[str], counts: np.ndarray) -> None:
+        leaves = max(1, -(-len(chunks) // LEAF))
+        self.base = 1 << (leaves - 1).bit_length()
+        counts = counts.tolist()
+        spans = range(0, len(chunks), LEAF)
+        # Plain lists: single nodes are read and written, which is slower in arrays.
+        self.chars = [0] * self.base + [sum(map(len, chunks[i : i + LEAF])) for i in spans] + [0] * (self.base - len(spans))
+        self.tokens = [0] * self.base + [sum(counts[i : i + LEAF]) for i in spans] + [0] * (self.base - len(spans))
+        for x in (self.chars, self.tokens):
+            for node in range(self.base - 1, 0, -1):
+                x[node] = x[2 * node] + x[2 * node + 1]
 
     @property
     def total(self) -> int:
-        return int(self.tokens[1])
+        return self.tokens[1]
 
     def leaf_at(self, pos: int) -> tuple[int, int]:
-        """(leaf that has the character at pos, or the last one; where the leaf begins)."""
-        node, begin = 1, 0
-        if pos >= self.chars[1]:
-            pos = max(0, int(self.chars[1]) - 1)
+        """(leaf that has the character at pos, or the last one with any; where the leaf begins)."""
+        chars, node, begin = self.chars, 1, 0
+        pos = min(pos, max(0, chars[1] - 1))
         while node < self.base:
             node *= 2
-            if pos - begin >= self.chars[node]:
-                begin += int(self.chars[node])
+            if pos - begin >= chars[node]:
+                begin += chars[node]
                 node += 1
         return node - self.base, begin
 
-    def edit(self, pos: int, removed: int, added: str) -> None:
+    def begin_edit(self, pos: int, removed: int, added: str) -> list[str]:
+        """Changes the text and returns the chunks to be counted for finish_edit()."""
         size = len(self.text)
         pos = min(max(pos, 0), size)
         end = min(size, pos + max(removed, 0))
         # The characters just before and just after belong to it: a chunk may grow together with its neighbour.
         first, begin = self.leaf_at(max(0, pos - 1))
         last, at = self.leaf_at(end)
-        stop = at + int(self.chars[self.base + last])
-        region = self.text[begin:pos] + added + self.text[end:stop]
+        region = self.text[begin:pos] + added + self.text[end : at + self.chars[self.base + last]]
         self.text = self.text[:pos] + added + self.text[end:]
         chunks = CHUNK.findall(region)
         self.encoded += len(region)
-        if len(chunks) > GROWN * LEAF * (last - first + 1):
-            self._build(CHUNK.findall(self.text))
+        grown = len(chunks) > GROWN * LEAF * (last - first + 1)
+        self.pending = None if grown else (first, last), CHUNK.findall(self.text) if grown else chunks
+        return self.pending[1]
+
+    def finish_edit(self, counts: np.ndarray) -> None:
+        place, chunks = self.pending
+        if place is None:
+            self._build(chunks, counts)
             return
-        counts = self.codec.count_chunks(chunks)
+        first, last = place
+        counts = counts.tolist()
         share = -(-len(chunks) // (last - first + 1))
         for k in range(first, last + 1):
             own = slice((k - first) * share, (k - first + 1) * share)
             self.chars[self.base + k] = sum(map(len, chunks[own]))
-            self.tokens[self.base + k] = counts[own].sum()
+            self.tokens[self.base + k] = sum(counts[own])
         lo, hi = (self.base + first) // 2, (self.base + last) // 2
         while lo:
-            for node in range(lo, hi + 1):
-                for x in (self.chars, self.tokens):
+            for x in (self.chars, self.tokens):
+                for node in range(lo, hi + 1):
                     x[node] = x[2 * node] + x[2 * node + 1]
             lo, hi = lo // 2, hi // 2
 
+    def edit(self, codec: Codec, pos: int, removed: int, added: str) -> None:
+        self.finish_edit(codec.count_chunks(self.begin_edit(pos, removed, added)))
+
+
+def counted(codec: Codec, pieces: list[list[str]]) -> list[np.ndarray]:
+    """Token counts of several lists of chunks in one call."""
+    counts = codec.count_chunks([c for p in pieces for c in p])
+    return np.split(counts, np.cumsum([len(p) for p in pieces])[:-1]) if pieces else []
+
 
 def edited_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """(id, n_tokens, n_chars, n_edits, edited_tokens, edited_chars, reencoded_chars): counts before and after the edits.
@@ -104,18 +120,18 @@ def edited_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     def run(batches):
         codec = _codec(shared)
         for part in text_slices(batches, "_text"):
-            rows = []
             texts = [t or "" for t in part.column(1).to_pylist()]
             pieces = [CHUNK.findall(t) for t in texts]
-            counts = codec.count_chunks([c for p in pieces for c in p])
-            ends = np.cumsum([len(p) for p in pieces]).tolist()
-            for text, chunks, end, edits in zip(texts, pieces, ends, part.column(2).to_pylist(), strict=True):
-                tree = TokenTree(codec, text, chunks, counts[end - len(chunks) : end])
-                row = [tree.total, len(text)]
-                for e in edits or []:
-                    if e is not None:
-                        tree.edit(e["pos"] or 0, e["removed"] or 0, e["added"] or "")
-                rows.append([*row, len(edits or []), tree.total, len(tree.text), tree.encoded])
+            trees = [TokenTree(t, p, n) for t, p, n in zip(texts, pieces, counted(codec, pieces), strict=True)]
+            before = [t.total for t in trees]
+            edits = [e or [] for e in part.column(2).to_pylist()]
+            # The first edit of all texts, then the second, ...
+            for k in range(max(map(len, edits), default=0)):
+                some = [(t, e[k]) for t, e in zip(trees, edits, strict=True) if k < len(e) and e[k] is not None]
+                changed = [t.begin_edit(e["pos"] or 0, e["removed"] or 0, e["added"] or "") for t, e in some]
+                for (tree, _), n in zip(some, counted(codec, changed), strict=True):
+                    tree.finish_edit(n)
+            rows = [(n, len(t), len(e), x.total, len(x.text), x.encoded) for n, t, e, x in zip(before, texts, edits, trees, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_pylist(), ARROW[kind]), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], names)
 
     given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(edits_col).cast(EDITS).alias("_edits"))

@@ -417,13 +417,13 @@ def test_edited_counts_equal_full_recount(encoding):
     rng = random.Random(9)
     pieces = [" ", "  ", "\n", "word", "it's", "é", "123", "!!", "　", "the quick", "\t x"]
     for size in (0, 1, 50, 3000):
-        tree = token_count.TokenTree(codec, "".join(rng.choice(pieces) for _ in range(size)))
+        tree = token_count.TokenTree.of(codec, "".join(rng.choice(pieces) for _ in range(size)))
         assert tree.total == len(encoding.encode_ordinary(tree.text))
         for _ in range(120):
             text = tree.text
             pos, removed = rng.randint(0, len(text) + 2), rng.choice([0, 1, 5, 80])
             added = "".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 400])))
-            tree.edit(pos, removed, added)
+            tree.edit(codec, pos, removed, added)
             assert tree.text == text[:pos] + added + text[min(pos, len(text)) + removed :]
             assert tree.total == len(encoding.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
 
