@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Distinct chunks that a worker keeps; beyond that it starts anew.
 KEEP = 250_000
+#: Chunks in the table that is looked at first, about.
+COMMON = 6_000
 #: Unicode White_Space: the pattern's \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin letters; a pre-token of letters always ends before the marks that follow in CHUNK.
@@ -57,6 +59,8 @@ class ChunkStore:
 
     def reset(self) -> None:
         self.numbers = Numbers()
+        # The chunks that the first slices repeat: a table small enough for the processor's cache, looked at first.
+        self.common: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -70,20 +74,25 @@ class ChunkStore:
             return
         first = len(self.numbers) - len(chunks)
         # What begins with white space and ends otherwise keeps its bounds in one long string, which saves a call for each.
-        joins = np.fromiter((c[0] in WHITE and c[-1] not in WHITE for c in chunks), bool, len(chunks))
-        joined = [c for c, j in zip(chunks, joins.tolist(), strict=True) if j]
-        single = [c for c, j in zip(chunks, joins.tolist(), strict=True) if not j]
-        together = "".join(joined)
-        ids, size, width = self.encode_strings([together, *single] if joined else single)
+        single = [i for i, c in enumerate(chunks) if c[0] not in WHITE or c[-1] in WHITE]
+        alone = [chunks[i] for i in single]
+        joined, apart = chunks, np.array(single, np.int64)
+        together = np.delete(np.arange(len(chunks)), apart)
+        if single:
+            joined = [c for c in chunks if c[0] in WHITE and c[-1] not in WHITE]
+        text = "".join(joined)
+        ids, size, width = self.encode_strings([text, *alone] if joined else alone)
         count = np.zeros(len(chunks), np.int64)
         if joined:
-            heads = np.flatnonzero(np.frombuffer(together.encode(), np.uint8) & 0xC0 != 0x80)
-            ends = np.append(heads, len(together.encode()))[np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))]
-            count[joins] = np.diff(np.searchsorted(np.cumsum(width[: size[0]]), ends, side="right"), prepend=0)
+            ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+            if not text.isascii():
+                data = np.frombuffer(text.encode(), np.uint8)
+                ends = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))[ends]
+            count[together] = np.diff(np.searchsorted(np.cumsum(width[: size[0]]), ends, side="right"), prepend=0)
             size = size[1:]
-        count[~joins] = size
+        count[apart] = size
         # ids are those of the joined chunks and then of the single ones.
-        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        order = np.concatenate([together, apart])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(chunks) > len(self.start):
@@ -98,8 +107,14 @@ class ChunkStore:
         """The number of each chunk, all learned."""
         if len(self.numbers) > KEEP:
             self.reset()
-        slots = self.numbers.of(chain.from_iterable(pieces), sum(map(len, pieces)))
+        chunks = list(chain.from_iterable(pieces))
+        slots = np.fromiter(map(self.common.get, chunks, repeat(-1)), np.int64, len(chunks))
+        rest = np.flatnonzero(slots < 0)
+        slots[rest] = self.numbers.of([chunks[i] for i in rest.tolist()], len(rest))
         self._learn()
+        if len(self.common) < COMMON and len(chunks) > 10_000:
+            numbers, first, times = np.unique(slots, return_index=True, return_counts=True)
+            self.common.update((chunks[i], n) for i, n in zip(first[times > 2].tolist(), numbers[times > 2].tolist(), strict=True))
         return slots
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
