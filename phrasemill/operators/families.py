@@ -169,7 +169,8 @@ def coverage_rows(pool: DataFrame, selected: DataFrame, limit: int = COVERAGE_RO
     """
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True) if batches else pd.DataFrame()
+        got = list(batches)
+        rows = pd.concat(got, ignore_index=True) if got else pd.DataFrame()
         taken: list[tuple[str, str]] = []
         if len(rows):
             seen: set[str] = set()
