@@ -13,7 +13,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Distinct chunks that a worker keeps; beyond that it starts anew.
+#: Distinct chunks that a worker keeps; beyond that it forgets the rare ones.
 KEEP = 250_000
 #: Chunks in the table that is looked at first, about.
 COMMON = 6_000
@@ -62,7 +62,23 @@ class ChunkStore:
         # The chunks that the first slices repeat: a table small enough for the processor's cache, looked at first.
         self.common: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def shrink(self) -> None:
+        """Forgets chunks that were met once or twice, and more if that leaves over a quarter of KEEP."""
+        names, uses = list(self.numbers), self.uses[: len(self.numbers)]
+        kept = np.flatnonzero(uses > 2)
+        if len(kept) > KEEP // 4:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: KEEP // 4]])
+        start, count = self.start[kept], self.count[kept]
+        flat = self.flat[ranges(start, count)]
+        self.reset()
+        while max(len(kept), len(flat)) > min(len(self.start), len(self.flat)):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
+        self.numbers.update(zip([names[i] for i in kept.tolist()], range(len(kept)), strict=True))
+        self.flat[: len(flat)], self.used = flat, len(flat)
+        self.start[: len(kept)], self.count[: len(kept)] = np.cumsum(count) - count, count
 
     def encode_strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of the strings one after another, ids of each string, bytes of each id)."""
@@ -96,7 +112,7 @@ class ChunkStore:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(chunks) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
         self.flat[self.used : self.used + len(ids)] = ids
         ends = np.cumsum(count[order])
         self.start[first + order] = self.used + ends - count[order]
@@ -106,12 +122,13 @@ class ChunkStore:
     def slots(self, pieces: Sequence[Sequence[str]]) -> np.ndarray:
         """The number of each chunk, all learned."""
         if len(self.numbers) > KEEP:
-            self.reset()
+            self.shrink()
         chunks = list(chain.from_iterable(pieces))
         slots = np.fromiter(map(self.common.get, chunks, repeat(-1)), np.int64, len(chunks))
         rest = np.flatnonzero(slots < 0)
         slots[rest] = self.numbers.of([chunks[i] for i in rest.tolist()], len(rest))
         self._learn()
+        self.uses += np.bincount(slots, minlength=len(self.uses))
         if len(self.common) < COMMON and len(chunks) > 10_000:
             numbers, first, times = np.unique(slots, return_index=True, return_counts=True)
             self.common.update((chunks[i], n) for i, n in zip(first[times > 2].tolist(), numbers[times > 2].tolist(), strict=True))
