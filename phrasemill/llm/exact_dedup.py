@@ -5,7 +5,7 @@ aggregation, so a group of copies of any size is counted before the shuffle); th
 index by sort-merge, in its own buckets, and what is new is appended.
 
 Results: null text counts as empty; runs of ASCII white space equal one space; of equal texts the smallest id stays,
-or the text that an earlier batch brought. Repeated ids with equal text count as copies. Empty tables give empty results.
+or the text that an earlier batch brought. A null id never stays, and keep_id is null where all copies lack one. Repeated ids with equal text count as copies. Empty tables give empty results.
 Only the id and text columns are read, so others may have any names.
 """
 
@@ -60,7 +60,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: s
     total = hashed.count()
     resolved = materialize(groups.join(index.read().select("digest", "keep_id").hint("merge"), "digest"), "resolved")
     return join_groups(hashed, resolved, "digest", "group_size", total).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest"
+        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "digest"
     )
 
 

@@ -25,7 +25,7 @@ ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b")
+ENDPOINT = re.compile(r"https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}|\b(?:[a-z0-9-]{1,63}\.){1,9}[a-z]{2,24}:[0-9]{2,5}\b")
 #: Spans are listed by start, then in this order.
 KINDS = ("assign", "access", "hex", "key_id", "key_secret", "endpoint")
 LEAST = {"assign": 8, "access": 16, "hex": 32}

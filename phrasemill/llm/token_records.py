@@ -11,7 +11,8 @@ writer, which commits whole files only and reaches any file system that Spark do
 by Spark as well. The index is built from what was read: a flipped bit in a file raises ValueError.
 
 Results: null and empty texts give a record of the end id alone; repeated ids give a record each; an empty table gives no
-records. Only the id and text columns are read; the id must be an integer and not null.
+records. A null id is written as the smallest 64-bit integer, comes first and is read back as null. Only the id and text columns
+are read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .chunks import ChunkStore
 from .common import map_texts, materialize, new_path
 
 MASK = 0xA282EAD8
+NO_ID = -(1 << 63)
 END = b"\n"
 INDEX = "file string, doc_id bigint, place bigint, byte_offset bigint, byte_length bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -106,15 +108,15 @@ def _encoder(content: str) -> Encoder:
     return _ENCODERS[content]
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the records of docs, in ascending order of id, as files under `out`."""
+def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bool:
+    """Writes the records of docs, in ascending order of id, as files under `out`; returns whether ids take 32 bits."""
     with open(tokenizer_path, encoding="utf-8") as file:
         content = file.read()
     from tokenizers import Tokenizer
 
     kind = np.uint16 if max(Tokenizer.from_str(content).get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
     shared = docs.sparkSession.sparkContext.broadcast(content)
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def make():
         coder = _encoder(shared.value)
@@ -130,6 +132,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, i
     # The writer of text puts a newline, the record's last byte, after each value, and copies the bytes as they are.
     records = map_texts(ordered, "doc_id", "text", "record binary", make)
     records.select(F.expr("cast(substring(record, 1, length(record) - 1) as string)").alias("value")).write.option("compression", "none").text(out)
+    return kind is np.uint32
 
 
 def index_records(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
@@ -154,12 +157,12 @@ def read_positions(index: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): start counts the ids of all records before. The sums run over files, not records."""
     files = index.groupBy("file").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("tokens"))
     before = files.select("file", F.coalesce(F.sum("tokens").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return index.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return index.join(before, "file").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_records(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs as records, reads the files back and returns the position of each document."""
     spark = docs.sparkSession
     out = new_path(spark, "records")
-    write_records(docs, tokenizer_path, out, end_id, id_col, text_col)
-    return read_positions(materialize(index_records(spark, out), "record-index"))
+    wide = write_records(docs, tokenizer_path, out, end_id, id_col, text_col)
+    return read_positions(materialize(index_records(spark, out, wide), "record-index"))

@@ -474,6 +474,19 @@ def test_records_odd(spark, odd, tmp_path):
     assert token_records.token_records(odd.where("false"), P.path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, "x"), (3, "a b c d e f"), (4, None)], "doc_id bigint, text string")
+    assert bpe.encode(df, queries.byte_vocabulary()).count() == simhash.near_duplicates(df).count() == 4
+    rows = token_records.token_records(df, P.path("byte_bpe_50k.json"), 2).collect()
+    assert sum(r["doc_id"] is None for r in rows) == 2 and max(r["start"] for r in rows if r["doc_id"] is None) < min(r["start"] for r in rows if r["doc_id"] is not None)
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(df, exact_dedup.fresh_index(spark)).collect()}
+    assert {(None, 3, False), (3, 3, True), (None, None, False), (4, 4, True)} == got
+    assert secrets_scan.scan_secrets(df).count() == 4 and packing.pack(df.withColumn("length", F.lit(5)), (8,)).count() == 4
+    model, rest = ngram_lm.train(df)
+    assert ngram_lm.score(df, model, rest).count() == 4
+    assert langid.identify(df, None).count() == 4 and simhash.similar_documents(df).count() <= 1
+
+
 def test_index_finds_records_and_damage(spark, odd, tmp_path):
     out = f"{tmp_path}/records"
     token_records.write_records(odd, P.path("byte_bpe_50k.json"), out, 2)
