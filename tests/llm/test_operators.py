@@ -94,6 +94,25 @@ def test_bpe_cache_starts_anew(monkeypatch, encoding):
         assert codec.encode([text])[0].tolist() == encoding.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("keep,block", [(400_000, 1 << 18), (20, 7)])
+def test_chunks_of_odd_texts(monkeypatch, encoding, keep, block):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(chunks, "KEEP", keep)
+    monkeypatch.setattr(chunks, "CHUNKS", block)
+    content = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    tokenizer = Tokenizer.from_str(content)
+    tokenizer.encode_special_tokens = True
+    codec, coder = bpe.Codec(queries.byte_vocabulary()), token_records.Encoder(content)
+    rng = random.Random(5)
+    pieces = [" ", "  ", "\n", "\u00a0", "\u3000", "\x1c", "\x85", "\u2009", "a", "word", "é", "Ünï", "it's", "'ll", ",", ".", "!!", "(,", "1", "23", "²", "中文", "\U0001f600", "x" * 300, "<|endoftext|>", "\t", "Ж", "ſ"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 5))]
+        for coder_, want in ((codec, encoding.encode_ordinary), (coder, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)):
+            ids, edges = coder_.encode(texts)
+            assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [want(t) for t in texts]
+
+
 def test_bpe_decode(spark, odd):
     coded = bpe.encode(odd, queries.byte_vocabulary()).unionByName(spark.createDataFrame([(99, None)], "doc_id bigint, ids array<int>"))
     got = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(coded, queries.byte_vocabulary()).collect()}
