@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -223,26 +224,36 @@ def _codec(shared):
 _CODECS: dict = {}
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """(id_col, ids array<int>), and with `decoded` also decoded binary: the ids turned back into bytes."""
+#: Gets ids, their edges, decoded bytes and their edges for a slice of texts; returns columns.
+Finish = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, finish: tuple[Finish, str] | None = None) -> DataFrame:
+    """(id_col, ids array<int>), and with `decoded` also decoded binary: the ids turned back into bytes.
+
+    With `finish`, a function and the schema of its columns, these follow id_col instead: what is made of ids and decoded bytes in
+    the worker need not pass through the JVM.
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     kind = df.schema[id_col].dataType.simpleString()
+    rest = finish[1] if finish else "ids array<int>" + ", decoded binary" * decoded
+    names = ["_id", *(c.strip().split()[0] for c in rest.split(","))]
+    arrow = ARROW[kind]
 
     def make():
         codec = _codec(shared)
 
         def work(keys, texts):
             ids, edges = codec.encode(texts)
-            columns = [pa.array(keys, arrow[0]), _lists(edges, pa.array(ids))]
-            if decoded:
-                columns.append(_binaries(*codec.decode(ids, edges)))
-            return pa.RecordBatch.from_arrays(columns, ["_id", "ids", "decoded"][: len(columns)])
+            if finish:
+                columns = finish[0](ids, edges, *codec.decode(ids, edges))
+            else:
+                columns = [_lists(edges, pa.array(ids)), *([_binaries(*codec.decode(ids, edges))] if decoded else [])]
+            return pa.RecordBatch.from_arrays([pa.array(keys, arrow), *columns], names)
 
         return work
 
-    arrow = [ARROW[kind]]
-    out = map_texts(df, id_col, text_col, f"_id {kind}, ids array<int>" + ", decoded binary" * decoded, make)
-    return out.withColumnRenamed("_id", id_col)
+    return map_texts(df, id_col, text_col, f"_id {kind}, {rest}", make).withColumnRenamed("_id", id_col)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -13,9 +13,9 @@ import re
 import numpy as np
 
 #: Distinct chunks that a worker keeps; beyond that it forgets the rare ones.
-KEEP = 400_000
+KEEP = 250_000
 #: Ids that a worker keeps.
-KEEP_IDS = 8_000_000
+KEEP_IDS = 4_000_000
 #: Bytes of a chunk that is kept at most.
 LONG = 256
 #: Bytes that are hashed at once, chunks that are looked up at once.

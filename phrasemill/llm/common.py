@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text (or bytes of a payload) that a Python worker handles at once.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -7,8 +7,8 @@ still expect to hold, given the pieces that are left; at the end each bin takes
 Each task packs its own rows, GROUP pieces at a time: nothing is shuffled, so no key can be hot, and memory is bounded.
 A bin's id is the task's number and a count, so a task that runs again gives the same bins.
 
-Results: empty and null texts have no length and go nowhere near a bin: they are left out only if `length` is null or not positive;
-repeated rows are packed each; an empty table gives no rows.
+Results: rows whose length is null, zero or negative are left out, as there is nothing to place; repeated rows are packed each;
+pieces of equal length keep their order; an empty table gives no rows. Only the id and length columns are read.
 """
 
 from __future__ import annotations

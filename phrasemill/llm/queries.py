@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, langid, ngram_lm, packing, secrets_scan, simhash, token_count, token_records, vector_dedup
+from .chunks import ranges
 from .common import crc_mod
 
 #: Sequence lengths that packing may use, in byte tokens.
@@ -24,14 +29,35 @@ def byte_vocabulary(path: str | None = None) -> bpe.Vocabulary:
     return bpe.Vocabulary.from_tiktoken(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, start, bytes) of the numbers below n, each with a space after it."""
+    if n not in _DECIMALS:
+        words = [b"%d " % i for i in range(n)]
+        size = np.fromiter(map(len, words), np.int64, n)
+        _DECIMALS[n] = size, np.cumsum(size) - size, np.frombuffer(b"".join(words), np.uint8)
+    return _DECIMALS[n]
+
+
+_DECIMALS: dict = {}
+
+
+def token_digests(ids: np.ndarray, edges: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Of each text: number of ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes."""
+    size, start, text = decimals(1 << 16 if not len(ids) or ids.max() < 1 << 16 else int(ids.max()) + 1)
+    flat = text[ranges(start[ids], size[ids])]
+    at = np.concatenate([[0], np.cumsum(size[ids])])[edges].tolist()
+    digest = lambda x, a, b: hashlib.sha256(x[a:b]).hexdigest()
+    bounds = bounds.tolist()
+    return [
+        pa.array(np.diff(edges)),
+        pa.array([digest(flat, a, max(a, b - 1)) for a, b in zip(at[:-1], at[1:], strict=True)]),
+        pa.array([digest(data, a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]),
+    ]
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents"), byte_vocabulary(), decoded=True)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return bpe.encode(table(spark, sf_dir, "documents"), byte_vocabulary(), finish=(token_digests, schema))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

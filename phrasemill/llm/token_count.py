@@ -5,7 +5,8 @@ holds the characters and tokens below it. An edit descends by characters to the
 before and after where it borders on them; only their text is split and encoded again, and the sums above them are updated.
 
 Results: null and empty texts have no tokens; edits of a document apply in the order given, positions refer to the text at
-that time, and what reaches beyond the text is cut off; null edits change nothing; equal texts get equal counts.
+that time, and what reaches beyond the text is cut off; null edits change nothing; equal texts get equal counts; an empty table gives no rows.
+Only the id, text and edits columns are read.
 """
 
 from __future__ import annotations
