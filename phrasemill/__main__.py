@@ -66,7 +66,7 @@ def execute(args: argparse.Namespace, spark) -> object:
     w = Workflow(spark, Job(Path(args.root) / args.job), args.knowledge)
     c = args.command
     if c in PAGES:
-        return w.page(PAGES[c], args.limit, getattr(args, "offset", 0))
+        return w.page(PAGES[c], args.limit, getattr(args, "offset", 0), getattr(args, "include_labeled", False))
     if c == "apply-policy-inline":
         names = {"commercial": "commercial_prototypes", "implicit_commercial": "implicit_commercial_prototypes", "informational": "informational_prototypes", "relevant": "relevant_prototypes", "garbage": "garbage_prototypes"}
         given = {k: [v.strip() for v in getattr(args, k).split(";") if v.strip()] for k in (*names, "commercial_signals", "informational_signals", "weak_question_signals")}

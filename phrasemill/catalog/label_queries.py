@@ -225,6 +225,12 @@ def knowledge_topics(spark, sf):
     return L.knowledge_topics(topics, _stored(spark, sf))
 
 
+@query(f"SELECT 'topic-'||(doc_id % 3) AS topic_key, arg_max(phrase, source_row) AS profile, max(source_row) AS seq FROM {LABELLED} GROUP BY 1")
+def knowledge_topic_profiles(spark, sf):
+    rows = labelled(spark, sf).select(F.concat(F.lit("topic-"), (F.col("doc_id") % 3).cast("string")).alias("topic_key"), F.col("phrase").alias("profile"), F.col("source_row").alias("seq"))
+    return L.upsert_topics(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
+
+
 @query(f"SELECT topic_key, count(*) AS n FROM {_UP} WHERE topic_key <> 'topic-1' GROUP BY 1")
 def knowledge_forget(spark, sf):
     return L.forget(_stored(spark, sf), "topic-1").groupBy("topic_key").agg(F.count("*").alias("n"))

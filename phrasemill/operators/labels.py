@@ -174,9 +174,9 @@ def family_rules(candidates: DataFrame, decisions: DataFrame, weak: tuple[str, .
 # -- pages of rows to review --------------------------------------------------------------------------------------------------
 
 
-def sample_page(sheet: DataFrame, offset: int, limit: int) -> DataFrame:
-    """Unlabelled rows by volume."""
-    rows = with_label(sheet).where("label is null and phrase <> ''")
+def sample_page(sheet: DataFrame, offset: int, limit: int, labeled: bool = False) -> DataFrame:
+    """Unlabelled rows by volume, or all rows."""
+    rows = with_label(sheet).where("phrase <> ''" if labeled else "label is null and phrase <> ''")
     return rows.orderBy(F.desc("search_volume"), "sample_id").offset(offset).limit(limit)
 
 
@@ -236,6 +236,12 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def upsert_topics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Topic profiles (topic_key, profile, seq): the latest of each topic."""
+    rows = old.unionByName(new)
+    return rows.groupBy("topic_key").agg(F.max_by("profile", "seq").alias("profile"), F.max("seq").alias("seq"))
+
+
 def balanced(examples: DataFrame, topic: str, limit: int) -> DataFrame:
     """Of each label a third of the limit, by confidence and recency."""
     w = Window.partitionBy("label").orderBy(F.desc("confidence"), F.desc("seq"), "phrase_key")

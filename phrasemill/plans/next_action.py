@@ -10,6 +10,7 @@ INITIAL, SMALL, PER_INTENT, STANDARD, DIRTY = 150, 500, 30, 300, 500
 LEAST_AUDITS, MOST_AUDITS, INTENT_AUDITS, POLICY_AUDITS, ATTEMPTS = 3, 6, 2, 1, 2
 LEAST_POLICY = {"commercial_prototypes": 3, "implicit_commercial_prototypes": 5, "informational_prototypes": 5, "commercial_signals": 5, "informational_signals": 12, "weak_question_signals": 3, "relevant_prototypes": 5, "garbage_prototypes": 5}
 BATCH = {"label": 50, "families": 20, "coverage": 50, "audit": 50, "clusters": 30}
+MEDIUM = 5000
 
 
 @dataclass
@@ -61,6 +62,7 @@ class Facts:
 Rule = tuple[Callable[[Facts], object], str, str, str, Callable[[Facts], int]]
 _none = lambda f: 0
 _small = lambda f: f.source_total <= SMALL
+_audit = lambda f: BATCH["audit"] if f.source_total > MEDIUM else min(BATCH["audit"], max(10, f.source_total // 20))
 
 #: (when, status, stage, action, rows of the batch); the first rule that holds is the answer.
 RULES: list[Rule] = [
@@ -81,9 +83,9 @@ RULES: list[Rule] = [
     (lambda f: f.coverage, "continue", "intent_family_coverage", "family-coverage-review", lambda f: min(BATCH["coverage"], f.coverage)),
     (lambda f: any(f.policy.get(k, 0) < n for k, n in LEAST_POLICY.items()), "continue", "intent_policy", "policy-context", lambda f: 8),
     (lambda f: f.refine and f.attempts < ATTEMPTS, "continue", "intent_policy", "policy-context", lambda f: 8),
-    (lambda f: f.audit_wanted and f.left, "continue", "relevance_audit", "relevance-review", lambda f: BATCH["audit"]),
-    (lambda f: f.intent_audits < INTENT_AUDITS and f.left, "continue", "intent_audit", "intent-review", lambda f: BATCH["audit"]),
-    (lambda f: f.policy_audits < POLICY_AUDITS and f.left, "continue", "policy_conflict_audit", "policy-conflict-review", lambda f: BATCH["audit"]),
+    (lambda f: f.audit_wanted and f.left, "continue", "relevance_audit", "relevance-review", _audit),
+    (lambda f: f.intent_audits < INTENT_AUDITS and f.left, "continue", "intent_audit", "intent-review", _audit),
+    (lambda f: f.policy_audits < POLICY_AUDITS and f.left, "continue", "policy_conflict_audit", "policy-conflict-review", _audit),
     (lambda f: f.reviewed < f.target, "continue", "active_review", "review", lambda f: min(20, f.target - f.reviewed)),
     (lambda f: f.errors, "blocked", "", "report", _none),
     (lambda f: f.attempts and f.checked_at < f.reviewed, "continue", "intent_policy", "policy-context", lambda f: 8),

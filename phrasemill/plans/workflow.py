@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import shutil
 from pathlib import Path
 
@@ -140,7 +139,7 @@ class Workflow:
 
     # -- pages of rows ---------------------------------------------------------------------------------------------------------
 
-    def page(self, kind: str, limit: int, offset: int = 0) -> list[dict]:
+    def page(self, kind: str, limit: int, offset: int = 0, labeled: bool = False) -> list[dict]:
         """Rows of a review: sample, priority, coverage, families, active, relevance, intent, policy, context, clusters."""
         if not 1 <= limit <= 50:
             raise ValueError("limit must be from 1 to 50")
@@ -152,7 +151,7 @@ class Workflow:
             rows = self.table("audit").where(~F.col("id").isin(done)).orderBy("id").limit(5 * limit)
         else:
             sheet = self.table("sheet")
-            simple = {"sample": lambda: L.sample_page(sheet, offset, limit), "priority": lambda: L.priority_review(sheet).limit(limit), "coverage": lambda: L.family_review(sheet, limit)}
+            simple = {"sample": lambda: L.sample_page(sheet, offset, limit, labeled), "priority": lambda: L.priority_review(sheet).limit(limit), "coverage": lambda: L.family_review(sheet, limit)}
             if kind in simple:
                 rows = simple[kind]().select("sample_id", "phrase", "search_volume")
             elif kind == "context":
@@ -192,6 +191,8 @@ class Workflow:
 
     def run(self, output: str | None = None) -> dict:
         """Fits, calibrates, decides, clusters and audits all phrases; one path for every size."""
+        if errors := self.facts().errors:
+            raise ValueError("the labels are not ready: " + "; ".join(errors[:5]))
         token = self.job.acquire()
         try:
             return self._run(output)
@@ -359,7 +360,3 @@ class Workflow:
             shutil.rmtree(self.job.path(n))
         return {"removed": gone}
 
-
-def audit_limit(unique: int) -> int:
-    """Rows of an audit batch: fewer for a small core."""
-    return 50 if unique > 5000 else min(50, max(10, math.floor(unique / 20)))
