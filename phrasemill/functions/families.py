@@ -54,11 +54,6 @@ def family_key(token: Column | str) -> Column:
     return F.when(none, None).when(F.char_length(token) >= PREFIX, F.concat(F.substring(token, 1, PREFIX), F.lit("*"))).otherwise(token)
 
 
-def part_key(token: Column) -> Column:
-    """A token's part in a structure: its family, or itself where it is a question word."""
-    return F.coalesce(family_key(token), F.when(is_anchor(token), token))
-
-
 def families(normalized: Column | str) -> Column:
     """The distinct families of a normalised phrase, sorted.
 
@@ -66,27 +61,39 @@ def families(normalized: Column | str) -> Column:
     significant tokens at most three apart, and neighbouring triples with a question word.
     """
     tokens = F.filter(F.split(as_column(normalized), " "), lambda t: t != "")
-    lexical = F.filter(F.transform(tokens, family_key), lambda k: k.isNotNull())
-    item = lambda t, i: F.struct(i.alias("i"), t.alias("t"), part_key(t).alias("k"), t.isin(STOP_WORDS).alias("s"), is_anchor(t).alias("q"))
-    bounded = F.transform(F.slice(tokens, 1, BOUND), item)
+    keyed_once = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"), family_key(t).alias("l"), t.isin(STOP_WORDS).alias("s"), is_anchor(t).alias("q")))
+    items = F.transform(keyed_once, lambda x: F.struct(x["i"].alias("i"), x["l"].alias("l"), F.coalesce(x["l"], F.when(x["q"], x["t"])).alias("k"), x["s"].alias("s"), x["q"].alias("q")))
+    return let(items, lambda x: F.array_sort(F.array_distinct(F.concat(_lexical(x), let(F.slice(x, 1, BOUND), _structural)))))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: in an expression tree each mention would be another evaluation."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    def following(items: Column, by: int) -> Column:
-        """Each item with the one `by` further on."""
-        return F.zip_with(F.slice(items, 1, F.greatest(F.size(items) - by, F.lit(0))), F.slice(items, by + 1, F.greatest(F.size(items) - by, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+def _lexical(items: Column) -> Column:
+    return F.filter(F.transform(items, lambda x: x["l"]), lambda k: k.isNotNull())
 
-    def joined(pairs: Column, keep) -> Column:
-        return F.transform(F.filter(pairs, keep), lambda p: F.concat_ws(" ", p["a"]["k"], p["b"]["k"]))
 
+def _following(items: Column, by: int) -> Column:
+    """Each item with the one `by` further on."""
+    n = F.greatest(F.size(items) - by, F.lit(0))
+    return F.zip_with(F.slice(items, 1, n), F.slice(items, by + 1, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def _structural(items: Column) -> Column:
     keyed = lambda p: p["a"]["k"].isNotNull() & p["b"]["k"].isNotNull()
-    neighbours = joined(following(bounded, 1), lambda p: keyed(p) & ~(p["a"]["s"] & p["b"]["s"]))
-    significant = F.filter(bounded, lambda x: x["k"].isNotNull())
-    bridged = joined(following(significant, 1), lambda p: p["b"]["i"] - p["a"]["i"] <= REACH)
-    pairs = following(bounded, 1)
-    triples = F.transform(
-        F.filter(following(pairs, 1), lambda x: keyed(x["a"]) & x["b"]["b"]["k"].isNotNull() & (x["a"]["a"]["q"] | x["a"]["b"]["q"] | x["b"]["b"]["q"])),
-        lambda x: F.concat_ws(" ", x["a"]["a"]["k"], x["a"]["b"]["k"], x["b"]["b"]["k"]),
-    )
-    return F.array_sort(F.array_distinct(F.concat(lexical, neighbours, bridged, triples)))
+    joined = lambda pairs, keep: F.transform(F.filter(pairs, keep), lambda p: F.concat_ws(" ", p["a"]["k"], p["b"]["k"]))
+
+    def neighbours(pairs: Column) -> Column:
+        two = joined(pairs, lambda p: keyed(p) & ~(p["a"]["s"] & p["b"]["s"]))
+        asked = lambda x: x["a"]["a"]["q"] | x["a"]["b"]["q"] | x["b"]["b"]["q"]
+        three = F.filter(_following(pairs, 1), lambda x: keyed(x["a"]) & x["b"]["b"]["k"].isNotNull() & asked(x))
+        return F.concat(two, F.transform(three, lambda x: F.concat_ws(" ", x["a"]["a"]["k"], x["a"]["b"]["k"], x["b"]["b"]["k"])))
+
+    significant = F.filter(items, lambda x: x["k"].isNotNull())
+    bridged = let(significant, lambda x: joined(_following(x, 1), lambda p: p["b"]["i"] - p["a"]["i"] <= REACH))
+    return F.concat(let(_following(items, 1), neighbours), bridged)
 
 
 def is_structure(family: Column) -> Column:
