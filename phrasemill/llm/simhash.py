@@ -8,9 +8,9 @@ everything that table t hashes: none is missed. A bucket of up to BUCKET nodes i
 meet through the words halfway between them (2 + 2 bits), a number of rows linear in the nodes, each meeting at most
 2,081 of them. Every task gives a spanning forest of its links, never all pairs.
 
-similar_documents() decides by the similarity of the texts' shingle sets instead, for which one fingerprint of long shingles is too coarse:
-several independent fingerprints of the distinct words propose pairs, as forests of actual pairs, and sketches of the
-shingle sets accept or reject each.
+similar_documents() decides by the similarity of the texts' shingle sets instead, for which fingerprints are too coarse: bands of smallest
+shingle hashes (MinHash) propose pairs by that similarity alone, whatever the shape of an edit, and sketches of the shingle
+sets accept or reject each.
 
 Results: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle make one
 shingle; equal texts share a fingerprint; empty tables give empty results. Only the id and text columns are read.
@@ -195,26 +195,63 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
     return join_groups(prints, labels, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
-#: Independent fingerprints that propose pairs; a pair at the similarity has about an even chance with each.
-PRINTS = 5
+#: Smallest hashes in a band's key, and the chance at most that a pair at the similarity shares no band.
+ROWS, MISS = 6, 1e-6
+#: Shingles that are hashed at once.
+ROUND = 256
 #: Cells of a sketch, a byte each; the estimate of a similarity of 0.8 has a standard deviation of 0.02 for long texts, less for short ones.
 CELLS = 384
 #: How far below the similarity an estimate may be.
 SLACK = 0.025
-SALTS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(PRINTS)], np.uint64)
 
 
-def word_prints(hashes: np.ndarray) -> list[int]:
-    """PRINTS fingerprints of a set of word hashes."""
-    with np.errstate(over="ignore"):
-        out = []
-        for salt in SALTS:
-            x = (hashes ^ salt) * np.uint64(0xFF51AFD7ED558CCD)
-            x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-            out.append(int(np.packbits(bit_counts(x ^ (x >> np.uint64(33))) * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0)
+def n_bands(similarity: float) -> int:
+    """Bands that a pair at the similarity misses with a chance of MISS at most, whatever the difference looks like: 46 at 0.8."""
+    share = similarity**ROWS
+    return 1 if share >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-share)))
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order; fewer words than a shingle make one shingle, and so does no word."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([digest(joined, SEED)], np.uint64)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(size + 1) - 1
+    starts = ends - size
+    n = len(parts) - words + 1
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    """Signed 64-bit digest of a set of shingle hashes."""
+    return int(np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def least_hashes(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """The smallest value of each of several random 32-bit hashes over a set."""
+    out = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for first in range(0, len(short), ROUND):
+        x = short[first : first + ROUND, None] * factors
+        x += shifts
+        np.minimum(out, x.min(axis=0), out=out)
     return out
 
 
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """64-bit keys of the bands of each row of smallest hashes."""
+    rows = least.reshape(len(least), -1, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(rows.shape[1], dtype=np.uint64), rows.shape[:2])
+    for i in range(ROWS):
+        key = (key ^ rows[:, :, i]) * np.uint64(0xFF51AFD7ED558CCD)
+        key = (key ^ (key >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        key = key ^ (key >> np.uint64(29))
+    return key.view(np.int64)
+
+
 def sketch(hashes: np.ndarray) -> bytes:
     """One-permutation sketch of a set of shingle hashes: the smallest of each cell, 0 where the cell is empty."""
     cell, value = hashes % np.uint64(CELLS), hashes >> np.uint64(24)
@@ -232,57 +269,53 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(filled, 1), 1.0)
 
 
-def profile(text: str | None, words: int) -> tuple[list[int], bytes]:
-    """(fingerprints of the distinct words, sketch of the set of shingles); fewer words than a shingle make one shingle."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    digest = xxhash.xxh64_intdigest
-    distinct = set(parts)
-    own = np.fromiter((digest(w, SEED) for w in distinct), np.uint64, len(distinct))
-    if not parts:
-        return word_prints(own), sketch(own)
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return word_prints(own), sketch(np.array([digest(joined, SEED)], np.uint64))
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    n = len(parts) - words + 1
-    return word_prints(own), sketch(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n))
+def estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (x, y) whose sketches have an estimated similarity of `least` or more, as (a, b)."""
+    both = pairs.join(sketches.select(F.col("s").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("s").alias("y"), F.col("sketch").alias("sy")), "y")
+
+    def accept(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike(a, b) >= least))
+
+    return both.select("x", "y", "sx", "sy").mapInArrow(accept, "a bigint, b bigint")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of each document that is linked to one with a smaller id; the others are their own component.
 
-    Links are pairs whose sets of shingles have an estimated similarity of `similarity` less SLACK or more. A pair is looked at where one of
-    PRINTS fingerprints of the words is within `radius` bits, through the smallest document of a fingerprint.
+    Links are pairs whose sets of shingles have an estimated similarity of `similarity` less SLACK or more. Equal sets are one node. A pair
+    of sets is looked at where they share a band, through the first set of the band.
     """
-    least = similarity - SLACK
+    size = n_bands(similarity) * ROWS
+    rng = np.random.default_rng(SEED)
+    factors, shifts = rng.integers(0, 1 << 31, size, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, size, np.uint32)
 
     def make():
         def work(keys, texts):
-            rows = [profile(t, words) for t in texts]
-            prints = pa.array([np.array(p, np.uint64).view(np.int64).tolist() for p, _ in rows], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), prints, pa.array([s for _, s in rows], pa.binary())], ["doc_id", "fps", "sketch"])
+            sets = [shingle_set(t, words) for t in texts]
+            bands = band_keys(np.array([least_hashes(h, factors, shifts) for h in sets]).reshape(-1, size))
+            edges = np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1]
+            columns = [pa.array(keys, pa.int64()), pa.array(list(map(set_digest, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64())]
+            columns += [pa.array(list(map(sketch, sets)), pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.reshape(-1)))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "s", "size", "sketch", "bands"])
 
         return work
 
-    given = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col)
-    profiles = materialize(map_texts(given, id_col, text_col, "doc_id bigint, fps array<bigint>, sketch binary", make), "profiles")
-    prints = profiles.select("doc_id", F.posexplode("fps").alias("g", "fp"))
-    nodes = materialize(prints.groupBy("g", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
-    first = nodes.select("g", "fp", "first_id")
-    links = near_links(nodes.select("g", "fp"), radius, pairs=True).distinct()
-    across = links.join(first.select("g", F.col("fp").alias("a"), F.col("first_id").alias("x")), ["g", "a"]).join(first.select("g", F.col("fp").alias("b"), F.col("first_id").alias("y")), ["g", "b"]).select("x", "y")
-    within = prints.join(nodes.where("n > 1").select("g", "fp", "first_id"), ["g", "fp"]).select(F.col("doc_id").alias("x"), F.col("first_id").alias("y"))
-    proposed = across.unionByName(within).where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    sketches = profiles.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
-    both = proposed.join(sketches.select(F.col("doc_id").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("doc_id").alias("y"), F.col("sketch").alias("sy")), "y")
-
-    def accept(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike(a, b) >= least))
-
-    accepted = both.select("x", "y", "sx", "sy").mapInArrow(accept, "a bigint, b bigint")
-    return components(accepted).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    profiles = materialize(map_texts(given, "doc_id", "text", "doc_id bigint, s bigint, size bigint, sketch binary, bands array<bigint>", make), "profiles")
+    nodes = materialize(profiles.groupBy("s").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
+    keyed = profiles.select("s", "size", F.explode("bands").alias("key")).repartition("key")
+    ends = keyed.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
+    shared = materialize(keyed.join(ends, "key").distinct(), "shared")
+    members = shared.select("s").distinct().join(nodes, "s").select("s", F.col("first_id").alias("doc_id"))
+    sketches = materialize(profiles.join(members, ["s", "doc_id"]).select("s", "doc_id", "sketch"), "sketches")
+    first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).distinct()
+    links = estimated(first, sketches, similarity - SLACK)
+    found = components(links)
+    roots = materialize(nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "first_id", "n", F.coalesce("component", "s").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    labels = materialize(roots.join(least, "root").select("s", "n", "component_id"), "labels")
+    labelled = join_groups(profiles.select("doc_id", "s"), labels, "s", "n", profiles.count())
+    return labelled.where("doc_id > component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -196,6 +196,30 @@ def test_similar_documents_are_found_and_others_left(spark):
     assert simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").where("false")).count() == 0
 
 
+def edited_groups(rng):
+    """(doc_id, text): bases and copies with a block appended, cut off, put in or taken out, or words replaced; short texts too."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    rows = []
+    for g in range(90):
+        base = [word() for _ in range(rng.choice([12, 25, 60, 150, 400]))]
+        n, at = len(base), rng.randrange(len(base))
+        block = [word() for _ in range(max(1, int(n * rng.choice([0.12, 0.17, 0.2]))))]
+        copies = [base + block, base[: n - len(block)], base[len(block) :], base[:at] + block + base[at:], block + base]
+        copies.append([word() if rng.random() < 0.02 else w for w in base])
+        rows += [" ".join(x) for x in [base, *rng.sample(copies, 3)]]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_similar_documents_of_any_edit_are_found(spark):
+    rows = edited_groups(random.Random(11))
+    sets = {d: shingles(t) for d, t in rows}
+    wanted = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(wanted) > 150
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert sum(found.get(a, a) != found.get(b, b) for a, b in wanted) <= 0.02 * len(wanted)
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(300, 340)] + [(500, 500)]
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
