@@ -282,11 +282,28 @@ def estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(accept, "a bigint, b bigint")
 
 
+def unlinked_pairs(shared: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of a band's sets that its first set did not settle: all that the links so far leave in different components.
+
+    Pairs with the first set itself are settled, and sets whose sizes differ too much cannot be similar. Only sets outside a band's largest
+    component are paired with the band's others, so a large group of copies stays linear.
+    """
+    labels = found.select(F.col("node").alias("s"), "component")
+    marked = materialize(shared.join(labels, "s", "left").select("key", "s", "size", "low", F.coalesce("component", "s").alias("c")), "marked")
+    counts = marked.groupBy("key", "c").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("most"))
+    rest = materialize(marked.where("s <> low").join(mixed, "key").select("key", "s", "size", "c", "most"), "unsettled")
+    x = rest.where("c <> most").select("key", F.col("s").alias("x"), F.col("size").alias("m"), F.col("c").alias("cx"))
+    y = rest.select("key", F.col("s").alias("y"), F.col("size").alias("n"), F.col("c").alias("cy"), "most")
+    fits = (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y")))
+    return x.join(y, "key").where(fits).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of each document that is linked to one with a smaller id; the others are their own component.
 
     Links are pairs whose sets of shingles have an estimated similarity of `similarity` less SLACK or more. Equal sets are one node. A pair
-    of sets is looked at where they share a band, through the first set of the band.
+    of sets is looked at where they share a band: each with the band's first set, then all that verified links leave apart.
     """
     size = n_bands(similarity) * ROWS
     rng = np.random.default_rng(SEED)
@@ -312,7 +329,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     members = shared.select("s").distinct().join(nodes, "s").select("s", F.col("first_id").alias("doc_id"))
     sketches = materialize(profiles.join(members, ["s", "doc_id"]).select("s", "doc_id", "sketch"), "sketches")
     first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).distinct()
-    links = estimated(first, sketches, similarity - SLACK)
+    links = materialize(estimated(first, sketches, similarity - SLACK), "first-links")
+    links = links.unionByName(estimated(unlinked_pairs(shared, components(links), similarity), sketches, similarity - SLACK))
     found = components(links)
     roots = materialize(nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "first_id", "n", F.coalesce("component", "s").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))

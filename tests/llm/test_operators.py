@@ -220,6 +220,23 @@ def test_similar_documents_of_any_edit_are_found(spark):
     assert sum(found.get(a, a) != found.get(b, b) for a, b in wanted) <= 0.02 * len(wanted)
 
 
+def test_similar_documents_behind_an_unlike_one_are_found(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        # The same distinct words each: one in another order, then two that are near copies.
+        rows += [" ".join(rng.sample(base, 200)), " ".join(base), " ".join(base[:100] + [base[101], base[100]] + base[102:])]
+    # A chain in which each text is near the next one alone.
+    for _ in range(10):
+        chain = [f"v{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [" ".join(chain[i * 14 : i * 14 + 180]) for i in range(8)]
+    sets = {d: shingles(t) for d, t in enumerate(rows)}
+    find = union([(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert found == {d: find(d) for d in sets if find(d) != d}
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(300, 340)] + [(500, 500)]
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
