@@ -9,8 +9,8 @@ meet through the words halfway between them (2 + 2 bits), a number of rows linea
 2,081 of them. Every task gives a spanning forest of its links, never all pairs.
 
 similar_documents() decides by the similarity of the texts' shingle sets instead, for which fingerprints are too coarse: bands of smallest
-shingle hashes (MinHash) propose pairs by that similarity alone, whatever the shape of an edit, and sketches of the shingle
-sets accept or reject each.
+shingle hashes (MinHash) propose pairs by that similarity alone, whatever the shape of an edit, sketches decide those
+far from the similarity, and the sets themselves the others.
 
 Results: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle make one
 shingle; equal texts share a fingerprint; empty tables give empty results. Only the id and text columns are read.
@@ -201,8 +201,10 @@ ROWS, MISS = 6, 1e-6
 ROUND = 256
 #: Cells of a sketch, a byte each; the estimate of a similarity of 0.8 has a standard deviation of 0.02 for long texts, less for short ones.
 CELLS = 384
-#: How far below the similarity an estimate may be.
-SLACK = 0.025
+#: Standard deviations between the similarity and an estimate that decides without the sets.
+SURE = 5
+#: Filled cells below which an estimate accepts nothing and rejects at double the distance: cells shared by chance weigh more there.
+FEW = 256
 
 
 def n_bands(similarity: float) -> int:
@@ -269,17 +271,37 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(filled, 1), 1.0)
 
 
-def estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (x, y) whose sketches have an estimated similarity of `least` or more, as (a, b)."""
+def estimated(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) that may have the similarity by their sketches, as (a, b, sure); `sure` where they certainly have it."""
     both = pairs.join(sketches.select(F.col("s").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("s").alias("y"), F.col("sketch").alias("sy")), "y")
+    far = SURE * (similarity * (1 - similarity) / CELLS) ** 0.5
 
     def accept(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike(a, b) >= least))
+                likely, few = alike(a, b), ((a != 0) | (b != 0)).sum(axis=1) < FEW
+                sure = (likely >= similarity + far) & ~few
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(likely >= similarity - far * np.where(few, 2, 1)))
 
-    return both.select("x", "y", "sx", "sy").mapInArrow(accept, "a bigint, b bigint")
+    return both.select("x", "y", "sx", "sy").mapInArrow(accept, "a bigint, b bigint, sure boolean")
+
+
+def verified(likely: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of estimated() that have the similarity: those not sure are decided by the sets of shingle hashes themselves."""
+    unsure = likely.where("not sure").select("a", "b")
+    both = unsure.join(sets.select(F.col("s").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("s").alias("b"), F.col("hashes").alias("hb")), "b")
+
+    def decide(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(common >= similarity * (len(p) + len(q) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return likely.where("sure").select("a", "b").unionByName(both.select("a", "b", "ha", "hb").mapInArrow(decide, "a bigint, b bigint"))
 
 
 def unlinked_pairs(shared: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -302,7 +324,7 @@ def unlinked_pairs(shared: DataFrame, found: DataFrame, similarity: float) -> Da
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of each document that is linked to one with a smaller id; the others are their own component.
 
-    Links are pairs whose sets of shingles have an estimated similarity of `similarity` less SLACK or more. Equal sets are one node. A pair
+    Links are pairs whose sets of shingles have a similarity of `similarity` or more; an estimate decides only SURE deviations away. Equal sets are one node. A pair
     of sets is looked at where they share a band: each with the band's first set, then all that verified links leave apart.
     """
     size = n_bands(similarity) * ROWS
@@ -320,6 +342,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
         return work
 
+    def hashed():
+        def work(keys, texts):
+            sets = [shingle_set(t, words) for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array(list(map(set_digest, sets)), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["s", "hashes"])
+
+        return work
+
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     profiles = materialize(map_texts(given, "doc_id", "text", "doc_id bigint, s bigint, size bigint, sketch binary, bands array<bigint>", make), "profiles")
     nodes = materialize(profiles.groupBy("s").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
@@ -329,9 +358,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     members = shared.select("s").distinct().join(nodes, "s").select("s", F.col("first_id").alias("doc_id"))
     sketches = materialize(profiles.join(members, ["s", "doc_id"]).select("s", "doc_id", "sketch"), "sketches")
     first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).distinct()
-    links = materialize(estimated(first, sketches, similarity - SLACK), "first-links")
-    links = links.unionByName(estimated(unlinked_pairs(shared, components(links), similarity), sketches, similarity - SLACK))
-    found = components(links)
+    owners = given.join(sketches.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = materialize(map_texts(owners, "doc_id", "text", "s bigint, hashes binary", hashed), "sets")
+    likely = materialize(estimated(first, sketches, similarity), "likely")
+    links = materialize(verified(likely, sets, similarity), "first-links")
+    likely = materialize(estimated(unlinked_pairs(shared, components(links), similarity), sketches, similarity), "likely")
+    found = components(links.unionByName(verified(likely, sets, similarity)))
     roots = materialize(nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "first_id", "n", F.coalesce("component", "s").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = materialize(roots.join(least, "root").select("s", "n", "component_id"), "labels")

@@ -237,6 +237,21 @@ def test_similar_documents_behind_an_unlike_one_are_found(spark):
     assert found == {d: find(d) for d in sets if find(d) != d}
 
 
+def test_similar_documents_are_exact_near_the_similarity(spark):
+    rows = []
+    for g in range(120):
+        # Two texts of 600 and more words, one with a block more: similarities of 0.77 to 0.83, and short ones.
+        n = 600 if g < 90 else 30
+        base = [f"g{g}w{i}" for i in range(n)]
+        block = [f"g{g}x{i}" for i in range(int(n * (0.205 + 0.001 * g)))]
+        rows += [" ".join(base), " ".join(base + block)]
+    rows += [t for _, t in edited_groups(random.Random(13))]
+    sets = {d: shingles(t) for d, t in enumerate(rows)}
+    find = union([(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert found == {d: find(d) for d in sets if find(d) != d}
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(300, 340)] + [(500, 500)]
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
