@@ -123,7 +123,7 @@ def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, added=True)
 
 
 def queries() -> dict:

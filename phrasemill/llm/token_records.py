@@ -67,18 +67,23 @@ class Encoder(ChunkStore):
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
     That is exact for a byte-level pre-tokenizer without prefix space and normalizer; with any other the library gets the texts
-    one by one.
+    one by one. With `added` the strings of added tokens in a text become these tokens, as the library does by default: it gets
+    each text that holds one by itself. Otherwise they are ordinary text.
     """
 
-    def __init__(self, content: str) -> None:
+    def __init__(self, content: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_str(content) if added else self.tokenizer
         config = json.loads(content)
         before = config.get("pre_tokenizer") or {}
         self.by_chunk = config.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        tokens = (config.get("added_tokens") or []) if added else []
+        self.added = [t["content"] for t in tokens]
+        self.by_chunk = self.by_chunk and all(t["special"] for t in tokens)
         # A byte-level token has a character for each of its bytes.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -90,26 +95,33 @@ class Encoder(ChunkStore):
         return ids, np.array([len(r) for r in rows]), self.width[ids]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if self.by_chunk:
+        alone = [i for i, t in enumerate(texts) if not self.by_chunk or t and any(a in t for a in self.added)]
+        if not alone:
             return super().encode(texts)
-        rows = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        return np.concatenate(rows) if rows else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        rows = [np.zeros(0, np.int32)] * len(texts)
+        if len(alone) < len(texts):
+            hidden = set(alone)
+            ids, edges = super().encode([None if i in hidden else t for i, t in enumerate(texts)])
+            rows = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for i, e in zip(alone, self.whole.encode_batch_fast([texts[i] or "" for i in alone], add_special_tokens=False), strict=True):
+            rows[i] = np.array(e.ids, np.int32)
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(content: str) -> Encoder:
+def _encoder(content: str, added: bool) -> Encoder:
     """One encoder a worker process: a later task finds it loaded."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if content not in _ENCODERS:
+    if (content, added) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[content] = Encoder(content)
-    return _ENCODERS[content]
+        _ENCODERS[content, added] = Encoder(content, added)
+    return _ENCODERS[content, added]
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bool:
-    """Writes the records of docs, in ascending order of id, as files under `out`; returns whether ids take 32 bits."""
+def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> bool:
+    """Writes the records of docs, in ascending order of id, as files under `out`; returns whether ids take 32 bits. `added`: see Encoder."""
     with open(tokenizer_path, encoding="utf-8") as file:
         content = file.read()
     from tokenizers import Tokenizer
@@ -119,7 +131,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, i
     ordered = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def make():
-        coder = _encoder(shared.value)
+        coder = _encoder(shared.value, added)
 
         def work(keys, texts):
             ids, edges = coder.encode(texts)
@@ -160,9 +172,9 @@ def read_positions(index: DataFrame) -> DataFrame:
     return index.join(before, "file").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_records(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs as records, reads the files back and returns the position of each document."""
+def token_records(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+    """Writes docs as records, reads the files back and returns the position of each document. `added`: see Encoder."""
     spark = docs.sparkSession
     out = new_path(spark, "records")
-    wide = write_records(docs, tokenizer_path, out, end_id, id_col, text_col)
+    wide = write_records(docs, tokenizer_path, out, end_id, id_col, text_col, added)
     return read_positions(materialize(index_records(spark, out, wide), "record-index"))

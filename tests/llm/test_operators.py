@@ -549,6 +549,20 @@ def test_records_odd(spark, odd, tmp_path):
     assert token_records.token_records(odd.where("false"), P.path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_records_query_follows_the_plain_library_on_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "plain text, here"), (3, "<|endoftext|>"), (4, None), (5, "x<|endoftext|><|endoftext|>y, z"), (6, "<|endof text|>")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_token_records(spark, str(tmp_path)).collect()}
+    start = 0
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "x"), (3, "a b c d e f"), (4, None)], "doc_id bigint, text string")
     assert bpe.encode(df, queries.byte_vocabulary()).count() == simhash.near_duplicates(df).count() == 4
