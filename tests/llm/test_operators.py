@@ -356,6 +356,29 @@ def test_score_query(spark, sf, texts, monkeypatch, most):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("most", [ngram_lm.WORDS, 300])
+def test_score_keeps_every_ngram_beyond_the_filter(spark, sf, texts, monkeypatch, most):
+    monkeypatch.setattr(ngram_lm, "FILTER_BYTES", 1 << 12)
+    monkeypatch.setattr(ngram_lm, "WORDS", most)
+    tokens = {d: [*(t or "").encode().lower().split(), b"\n"] for d, t in texts.items()}
+    words, pairs = Counter(), Counter()
+    for d, x in tokens.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            words.update(x)
+            pairs.update(zip([b"\n", *x[:-1]], x, strict=True))
+    whole = sum(words.values()) + len(words) + 1
+    middle = lambda n: 0.75 * 2.0 ** n.bit_length() - 0.5 if n else 0.0
+    base = brute_base(texts)
+    for r in queries.op5_ngram_score(spark, sf).collect():
+        total = 0.0
+        for b, w in zip([b"\n", *tokens[r["doc_id"]][:-1]], tokens[r["doc_id"]], strict=True):
+            alone, before, both = min((middle(words[w]) + 1) / whole, 1), middle(words[b]), middle(pairs[b, w])
+            total += math.log10(0.6 * both / max(before, both, 1) + 0.4 * alone if before else alone)
+        assert r["score"] == pytest.approx(total, rel=1e-9)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == base[r["doc_id"]][:3]
+        assert r["base_score"] == pytest.approx(base[r["doc_id"]][3], rel=1e-9)
+
+
 def test_filter_gives_levels(spark):
     rng = np.random.default_rng(5)
     h, n = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(1, 5000, 5000)
