@@ -238,7 +238,6 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     kind = df.schema[id_col].dataType.simpleString()
     rest = finish[1] if finish else "ids array<int>" + ", decoded binary" * decoded
     names = ["_id", *(c.strip().split()[0] for c in rest.split(","))]
-    arrow = ARROW[kind]
 
     def make():
         codec = _codec(shared)
@@ -249,7 +248,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
                 columns = finish[0](ids, edges, *codec.decode(ids, edges))
             else:
                 columns = [_lists(edges, pa.array(ids)), *([_binaries(*codec.decode(ids, edges))] if decoded else [])]
-            return pa.RecordBatch.from_arrays([pa.array(keys, arrow), *columns], names)
+            return pa.RecordBatch.from_arrays([keys, *columns], names)
 
         return work
 
@@ -260,7 +259,6 @@ def decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_co
     """(id_col, decoded binary): the bytes of each sequence; null counts as empty."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     kind = df.schema[id_col].dataType.simpleString()
-    arrow = ARROW[kind]
 
     def run(batches):
         codec = _codec(shared)
@@ -270,10 +268,6 @@ def decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_co
                 rows = [x or [] for x in part.column(1).to_pylist()]
                 edges = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
                 ids = np.array([i for x in rows for i in x], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_pylist(), arrow), _binaries(*codec.decode(ids, edges))], ["_id", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _binaries(*codec.decode(ids, edges))], ["_id", "decoded"])
 
     return df.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids")).mapInArrow(run, f"_id {kind}, decoded binary").withColumnRenamed("_id", id_col)
-
-
-#: Key types that the operators carry.
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

@@ -3,7 +3,7 @@
 A chunk is white space and what follows up to the next white space, or up to a mark after letters. A pre-token of the byte-level
 pattern always ends there, so the ids of a text are those of its chunks, one after another. Chunks are found, hashed and
 looked up in numpy, over all texts of a slice at once; what a worker has met is kept over slices and tasks. A chunk is known by two
-independent 64-bit polynomial hashes; chunks over LONG bytes are encoded each time.
+independent 64-bit polynomial hashes with coefficients and bases drawn at random in each process; chunks over LONG bytes are encoded each time.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ CHUNK = re.compile(rf"[{SPACE}]*+[{LETTER}]++(?=[,.;:!?])|[{SPACE}]*[^{SPACE}]+|
 
 _of = lambda chars: np.isin(np.arange(256), list(chars))
 WHITE, LETTERS, MARKS = _of(b"\t\n\x0b\x0c\r "), _of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), _of(b",.;:!?")
-_RANDOM = np.random.default_rng(20).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+# Drawn anew in each process, so that no text can be written whose chunks collide. Ids do not depend on them.
+_DRAW = np.random.default_rng()
+_RANDOM = _DRAW.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = _DRAW.integers(1 << 61, 1 << 62, 2, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
 
 
 def _powers(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:

@@ -64,14 +64,14 @@ def map_texts(
     id_col: str,
     text_col: str,
     schema: str,
-    make: Callable[[], Callable[[list, list[str | None]], Iterator[pa.RecordBatch] | pa.RecordBatch]],
+    make: Callable[[], Callable[[pa.Array, list[str | None]], Iterator[pa.RecordBatch] | pa.RecordBatch]],
 ) -> DataFrame:
-    """Applies a worker to (ids, texts) slices of df. `make` runs once a task and returns the worker."""
+    """Applies a worker to (ids, texts) slices of df. `make` runs once a task and returns the worker; ids stay an Arrow array of their own type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = make()
         for part in text_slices(batches, "_text"):
-            out = worker(part.column(0).to_pylist(), part.column(1).to_pylist())
+            out = worker(part.column(0), part.column(1).to_pylist())
             if isinstance(out, pa.RecordBatch):
                 yield out
             else:

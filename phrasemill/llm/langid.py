@@ -186,7 +186,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     def make():
         def work(keys, texts):
             chosen, scores = predict_texts(shared.value, texts)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(chosen, pa.string()), pa.array(scores, pa.float64())], ["_id", "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([keys, pa.array(chosen, pa.string()), pa.array(scores, pa.float64())], ["_id", "lang_pred", "score"])
 
         return work
 

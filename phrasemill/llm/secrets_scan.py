@@ -86,7 +86,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     def make():
         def work(keys, texts):
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t, scope)] for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(spans, pa.list_(span))], ["_id", "spans"])
+            return pa.RecordBatch.from_arrays([keys, pa.array(spans, pa.list_(span))], ["_id", "spans"])
 
         return work
 

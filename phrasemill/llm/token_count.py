@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ARROW, Codec, Vocabulary, _codec
+from .bpe import Codec, Vocabulary, _codec
 from .chunks import CHUNK
 from .common import text_slices
 
@@ -133,7 +133,7 @@ def edited_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
                 for (tree, _), n in zip(some, counted(codec, changed), strict=True):
                     tree.finish_edit(n)
             rows = [(n, len(t), len(e), x.total, len(x.text), x.encoded) for n, t, e, x in zip(before, texts, edits, trees, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_pylist(), ARROW[kind]), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], names)
 
     given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(edits_col).cast(EDITS).alias("_edits"))
     return given.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:])).withColumnRenamed("_id", id_col)
