@@ -2,7 +2,10 @@
 
 Links never reach the driver: each round is two group-bys and two joins, and its edges are written to the working
 folder. A node with very many links is aggregated map-side first; its join is an inner join of exchanges, which adaptive
-execution splits.
+execution splits. The rounds end when no node has two links and no chain is left, which is checked on the links themselves.
+
+Results: a link of a node with itself is left out, repeated links count once; an empty table gives an empty result. Links with a
+null end are left out.
 """
 
 from __future__ import annotations
@@ -38,16 +41,18 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node has one link, to a node that has none down itself: then b is the smallest node of a's component."""
+    several = links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chained = links.select(F.col("b").alias("a")).distinct().join(links.select("a"), "a", "left_semi")
+    return several.unionByName(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node that is not itself the smallest. edges: (a, b) of one ordered type."""
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = materialize(links, "links")
-    last = None
-    while True:
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
-        if state["n"] == 0 or state == last:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        last = state
+    while not _are_stars(links):
         both = _both_ways(links)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -55,3 +60,4 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         links = materialize(small, "links")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
