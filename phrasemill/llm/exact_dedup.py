@@ -5,7 +5,8 @@ aggregation, so a group of copies of any size is counted before the shuffle); th
 index by sort-merge, in its own buckets, and what is new is appended.
 
 Results: null text counts as empty; runs of ASCII white space equal one space; of equal texts the smallest id stays,
-or the text that an earlier batch brought. A null id never stays, and keep_id is null where all copies lack one. Repeated ids with equal text count as copies. Empty tables give empty results.
+or the text that an earlier batch brought. A null id never stays, and keep_id is null where all copies lack one. Rows that repeat both id
+and text are one document: each counts in group_size, and all are marked as kept if that document is. Empty tables give empty results.
 Only the id and text columns are read, so others may have any names.
 """
 
@@ -24,9 +25,14 @@ def normalised(text: F.Column) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def digest_of(text: F.Column) -> F.Column:
+    """SHA-256 of the normalised UTF-8 text as 32 bytes."""
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the normalised UTF-8 text as 32 bytes."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest"))
+    """(doc_id, digest) of each row."""
+    return docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
 
 
 class DigestIndex:
@@ -44,7 +50,7 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append_new(self, groups: DataFrame, batch: str) -> None:
-        """Adds the digests of `groups` (digest, keep_id) that the index lacks. A batch that was added is not added again."""
+        """Adds the digests of `groups` (digest, keep_id) that the index lacks, so a batch that comes again adds nothing. `batch` says which one brought a digest."""
         known = self.read().select("digest").hint("merge")
         new = groups.select("digest", F.col("keep_id").cast("bigint"), F.lit(batch).alias("batch")).join(known, "digest", "left_anti")
         # A table can't be read and appended to in one plan; the new digests are written first.
@@ -64,6 +70,6 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", id_col: s
     )
 
 
-def fresh_index(spark: SparkSession, buckets: int = 16) -> DigestIndex:
-    """An empty index in the working folder."""
-    return DigestIndex(spark, new_path(spark, "digest-index"), buckets)
+def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
+    """An empty index in the working folder, with as many buckets as a shuffle has partitions unless told otherwise."""
+    return DigestIndex(spark, new_path(spark, "digest-index"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
