@@ -13,7 +13,8 @@ shingle hashes (MinHash) propose pairs by that similarity alone, whatever the sh
 far from the similarity, and the sets themselves the others.
 
 Results: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle make one
-shingle; equal texts share a fingerprint; empty tables give empty results. Only the id and text columns are read.
+shingle; equal texts share a fingerprint; rows that repeat an id are rows of their own; a null id is never the smallest of a group;
+empty tables give empty results. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .components import components, spanning
 SEED = 42
 #: Nodes of a bucket that one task compares pair by pair.
 BUCKET = 4096
+#: Links that a task holds before it passes them on as a forest.
+HELD = 200_000
 
 
 def simhash(text: str | None, words: int) -> int:
@@ -81,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     def make():
         def work(keys, texts):
             fps = np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([keys, pa.array(fps)], ["doc_id", "fp"])
 
         return work
 
@@ -112,6 +115,19 @@ def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return x[a], x[b]
 
 
+def buckets_of(batches, tables: int):
+    """(group, fingerprints) of each bucket of sorted rows (t, k, fp); a task holds a batch and one bucket."""
+    rest = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        t, k, fp = (np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest))
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(t) != 0) | (np.diff(k) != 0)) + 1]).tolist() if len(t) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(t[lo]) // tables, fp[lo:hi]
+        rest = [x[cuts[-1] :] for x in (t, k, fp)]
+    if len(rest[0]):
+        yield int(rest[0][0]) // tables, rest[2]
+
+
 def near_links(nodes: DataFrame, radius: int, pairs: bool = False) -> DataFrame:
     """Links (a, b) that connect the same nodes as all pairs within `radius` bits do. nodes: distinct (fp), or (g, fp) for separate groups g.
 
@@ -127,18 +143,20 @@ def near_links(nodes: DataFrame, radius: int, pairs: bool = False) -> DataFrame:
     shared = materialize(keyed.join(sizes, ["t", "k"]), "buckets")
 
     def compare(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        t, k, fp = (table.column(c).to_numpy() for c in ("t", "k", "fp"))
-        order = np.lexsort((k, t))
-        t, k, fp = t[order], k[order], fp[order]
-        cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(k) != 0)) + 1
         found: dict[int, tuple[list, list]] = {}
-        for lo, hi in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(fp)]]).tolist(), strict=True):
-            x = fp[lo:hi].view(np.uint64)
-            a, b = found.setdefault(int(t[lo]) // len(tables), ([], []))
+
+        def flush():
+            for g, (a, b) in found.items():
+                p, q = np.concatenate(a), np.concatenate(b)
+                if not pairs:
+                    p, q = spanning(p, q)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), g, np.int32)), pa.array(p), pa.array(q)], ["g", "a", "b"])
+            found.clear()
+
+        held = 0
+        for g, fp in buckets_of(batches, len(tables)):
+            x = fp.view(np.uint64)
+            a, b = found.setdefault(g, ([], []))
             if len(x) == 2 or not pairs:
                 for first in range(0, len(x), 512):
                     i, j = np.nonzero(np.bitwise_count(x[first : first + 512, None] ^ x[None, first:]) <= radius)
@@ -148,17 +166,19 @@ def near_links(nodes: DataFrame, radius: int, pairs: bool = False) -> DataFrame:
                         p, q = spanning(p, q)
                     a.append(p)
                     b.append(q)
+                    held += len(p)
             else:
                 p, q = forest(x, radius)
                 a.append(p.view(np.int64))
                 b.append(q.view(np.int64))
-        for g, (a, b) in found.items():
-            p, q = np.concatenate(a), np.concatenate(b)
-            if not pairs:
-                p, q = spanning(p, q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), g, np.int32)), pa.array(p), pa.array(q)], ["g", "a", "b"])
+                held += len(p)
+            if held > HELD or len(a) > HELD:
+                yield from flush()
+                held = 0
+        yield from flush()
 
-    small = shared.where(F.col("n") <= BUCKET).select("t", "k", "fp").repartition("t", "k").mapInArrow(compare, "g int, a bigint, b bigint")
+    ordered = shared.where(F.col("n") <= BUCKET).select("t", "k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
+    small = ordered.mapInArrow(compare, "g int, a bigint, b bigint")
 
     # Nodes at most 2 * (radius // 2) apart share a word at most radius // 2 bits from either; an odd radius needs one bit more on one side.
     half, odd = radius // 2, radius % 2
@@ -203,6 +223,10 @@ ROUND = 256
 CELLS = 384
 #: Standard deviations between the similarity and an estimate that decides without the sets.
 SURE = 5
+#: Shingle hashes of a block's sets, and queries of a block.
+BLOCK_HASHES, QUERIES = 1 << 20, 8192
+#: Stands for a null id.
+NO_ID = (1 << 63) - 1
 #: Filled cells below which an estimate accepts nothing and rejects at double the distance: cells shared by chance weigh more there.
 FEW = 256
 
@@ -304,28 +328,105 @@ def verified(likely: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return likely.where("sure").select("a", "b").unionByName(both.select("a", "b", "ha", "hb").mapInArrow(decide, "a bigint, b bigint"))
 
 
-def unlinked_pairs(shared: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of a band's sets that its first set did not settle: all that the links so far leave in different components.
+def block_links(shared: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between sets of one band that the links so far leave in different components: decided by the sets themselves.
 
-    Pairs with the first set itself are settled, and sets whose sizes differ too much cannot be similar. Only sets outside a band's largest
-    component are paired with the band's others, so a large group of copies stays linear.
+    Pairs with a band's first set are settled. The others are compared within blocks: the sets outside a band's largest component are
+    its queries, against all sets of the band. A block gives links that join components, never pairs, and bands of any size
+    make more blocks, not larger ones.
     """
     labels = found.select(F.col("node").alias("s"), "component")
     marked = materialize(shared.join(labels, "s", "left").select("key", "s", "size", "low", F.coalesce("component", "s").alias("c")), "marked")
-    counts = marked.groupBy("key", "c").agg(F.count("*").alias("k"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("most"))
-    rest = materialize(marked.where("s <> low").join(mixed, "key").select("key", "s", "size", "c", "most"), "unsettled")
-    x = rest.where("c <> most").select("key", F.col("s").alias("x"), F.col("size").alias("m"), F.col("c").alias("cx"))
-    y = rest.select("key", F.col("s").alias("y"), F.col("size").alias("n"), F.col("c").alias("cy"), "most")
-    fits = (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y")))
-    return x.join(y, "key").where(fits).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    counts = marked.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum("size").alias("hashes"))
+    bands = counts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), F.sum("hashes").alias("hashes"))
+    ceiling = lambda n, most: F.ceil(n / F.lit(most)).cast("int")
+    mixed = bands.where("k > top.k").select("key", F.col("top.c").alias("most"), ceiling(F.col("hashes"), BLOCK_HASHES).alias("mb"), ceiling(F.col("k") - F.col("top.k"), QUERIES).alias("qb"))
+    rest = materialize(marked.where("s <> low").join(mixed, "key").select("key", "s", "c", (F.col("c") != F.col("most")).alias("asks"), "mb", "qb"), "unsettled")
+    place = lambda n: F.pmod(F.xxhash64("s"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda m, q, query: F.struct(m.alias("m"), q.alias("q"), F.lit(query).alias("query"))
+    own_m, own_q = place("mb"), place("qb")
+    spots = F.concat(
+        F.transform(upto("qb"), lambda q: at(own_m, q, False)),
+        F.when(F.col("asks"), F.transform(upto("mb"), lambda m: at(m, own_q, True))).otherwise(F.array().cast("array<struct<m: int, q: int, query: boolean>>")),
+    )
+    dealt = rest.join(sets, "s").select("key", "s", "c", "asks", "hashes", F.explode(spots).alias("x")).select("key", "x.m", "x.q", "x.query", "s", "c", "asks", "hashes")
+
+    def compare(batches):
+        block: SetBlock | None = None
+        name = None
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            query, s, c, asks, hashes = (batch.column(i) for i in range(3, 8))
+            out: list[tuple[int, int]] = []
+            for i, (own, is_query) in enumerate(zip(names, query.to_pylist(), strict=True)):
+                if own != name:
+                    block, name = SetBlock(similarity), own
+                values = np.frombuffer(hashes[i].as_buffer(), np.uint64)
+                if is_query:
+                    out += block.ask(s[i].as_py(), c[i].as_py(), values)
+                else:
+                    block.add(s[i].as_py(), c[i].as_py(), asks[i].as_py(), values.copy())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    ordered = dealt.repartition("key", "m", "q").sortWithinPartitions("key", "m", "q", "query")
+    return ordered.mapInArrow(compare, "a bigint, b bigint")
+
+
+class SetBlock:
+    """Sets of one block; ask() compares one set with all of them at once."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.rows, self.sets, self.root = similarity, [], [], {}
+        self.codes = None
+
+    def add(self, s: int, c: int, asks: bool, hashes: np.ndarray) -> None:
+        self.rows.append((s, c, asks))
+        self.sets.append(hashes)
+
+    def find(self, c: int) -> int:
+        while (up := self.root.get(c, c)) != c:
+            c = up
+        return c
+
+    def close(self) -> None:
+        self.s, self.c, self.asks = (np.array(x) for x in zip(*self.rows, strict=True))
+        self.size = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        self.starts = np.cumsum(self.size) - self.size
+        self.known, self.codes = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.mark = np.zeros(len(self.known), bool)
+        self.sets = []
+
+    def ask(self, s: int, c: int, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a set with sets of other components; of two sets that both ask the smaller one finds the other."""
+        if not self.rows:
+            return []
+        if self.codes is None:
+            self.close()
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        at = at[self.known[at] == hashes]
+        self.mark[at] = True
+        common = np.add.reduceat(self.mark[self.codes], self.starts, dtype=np.int64)
+        self.mark[at] = False
+        near = (common >= self.similarity * (len(hashes) + self.size - common)) & (self.c != c) & (~self.asks | (self.s > s))
+        out = []
+        for j in np.flatnonzero(near).tolist():
+            x, y = self.find(c), self.find(int(self.c[j]))
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                out.append((s, int(self.s[j])))
+        return out
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of each document that is linked to one with a smaller id; the others are their own component.
+    """(doc_id, text_hash, component_id) of each document that is linked to one with a smaller id; the others are their own component.
 
     Links are pairs whose sets of shingles have a similarity of `similarity` or more; an estimate decides only SURE deviations away. Equal sets are one node. A pair
     of sets is looked at where they share a band: each with the band's first set, then all that verified links leave apart.
+
+    text_hash is xxhash64 of the text: with it the result names rows also where documents share an id, and among those the one of smallest
+    text_hash is the first. A null id counts as larger than any other, and is given as null. Null and empty texts are one empty set.
     """
     size = n_bands(similarity) * ROWS
     rng = np.random.default_rng(SEED)
@@ -336,9 +437,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             sets = [shingle_set(t, words) for t in texts]
             bands = band_keys(np.array([least_hashes(h, factors, shifts) for h in sets]).reshape(-1, size))
             edges = np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1]
-            columns = [pa.array(keys, pa.int64()), pa.array(list(map(set_digest, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64())]
+            fields = [keys.field(0), keys.field(1)]
+            columns = [*fields, pa.array(list(map(set_digest, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64())]
             columns += [pa.array(list(map(sketch, sets)), pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.reshape(-1)))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "s", "size", "sketch", "bands"])
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "s", "size", "sketch", "bands"])
 
         return work
 
@@ -349,23 +451,26 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
         return work
 
-    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    profiles = materialize(map_texts(given, "doc_id", "text", "doc_id bigint, s bigint, size bigint, sketch binary, bands array<bigint>", make), "profiles")
-    nodes = materialize(profiles.groupBy("s").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
+    text = F.col(text_col)
+    given = docs.select(F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("row"), text.alias("text"))
+    profiles = materialize(map_texts(given, "row", "text", "doc_id bigint, text_hash bigint, s bigint, size bigint, sketch binary, bands array<bigint>", make), "profiles")
+    row = F.struct("doc_id", "text_hash")
+    nodes = materialize(profiles.groupBy("s").agg(F.min(row).alias("row"), F.count("*").alias("n")), "nodes")
     keyed = profiles.select("s", "size", F.explode("bands").alias("key")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
-    shared = materialize(keyed.join(ends, "key").distinct(), "shared")
-    members = shared.select("s").distinct().join(nodes, "s").select("s", F.col("first_id").alias("doc_id"))
-    sketches = materialize(profiles.join(members, ["s", "doc_id"]).select("s", "doc_id", "sketch"), "sketches")
+    shared = materialize(keyed.join(ends, "key").select("key", "s", "size", "low").distinct(), "shared")
+    members = shared.select("s").distinct().join(nodes, "s").select("s", "row.doc_id", "row.text_hash")
+    sketches = materialize(profiles.join(members, ["s", "doc_id", "text_hash"]).dropDuplicates(["s", "doc_id", "text_hash"]).select("s", "doc_id", "text_hash", "sketch"), "sketches")
     first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).distinct()
-    owners = given.join(sketches.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialize(map_texts(owners, "doc_id", "text", "s bigint, hashes binary", hashed), "sets")
+    owners = given.select("row.doc_id", "row.text_hash", "text").join(sketches.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    sets = materialize(map_texts(owners, "doc_id", "text", "s bigint, hashes binary", hashed).dropDuplicates(["s"]), "sets")
     likely = materialize(estimated(first, sketches, similarity), "likely")
     links = materialize(verified(likely, sets, similarity), "first-links")
-    likely = materialize(estimated(unlinked_pairs(shared, components(links), similarity), sketches, similarity), "likely")
-    found = components(links.unionByName(verified(likely, sets, similarity)))
-    roots = materialize(nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "first_id", "n", F.coalesce("component", "s").alias("root")), "roots")
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = materialize(roots.join(least, "root").select("s", "n", "component_id"), "labels")
-    labelled = join_groups(profiles.select("doc_id", "s"), labels, "s", "n", profiles.count())
-    return labelled.where("doc_id > component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    more = block_links(shared, components(links), sets, similarity)
+    found = components(links.unionByName(more))
+    roots = materialize(nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "row", "n", F.coalesce("component", "s").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("row").alias("least"))
+    labels = materialize(roots.join(least, "root").select("s", "n", "least"), "labels")
+    labelled = join_groups(profiles.select("doc_id", "text_hash", "s"), labels, "s", "n", profiles.count()).where(row > F.col("least"))
+    given_id = lambda x: F.nullif(x, F.lit(NO_ID))
+    return labelled.select(given_id(F.col("doc_id")).alias("doc_id"), "text_hash", given_id(F.col("least.doc_id")).alias("component_id")).distinct()
