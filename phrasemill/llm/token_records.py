@@ -136,7 +136,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, i
         def work(keys, texts):
             ids, edges = coder.encode(texts)
             ids, edges = ids.astype(kind), edges.tolist()
-            rows = [frame(k, np.append(ids[a:b], kind(end_id))) for k, a, b in zip(keys, edges[:-1], edges[1:], strict=True)]
+            rows = [frame(k, np.append(ids[a:b], kind(end_id))) for k, a, b in zip(keys.to_pylist(), edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
         return work
