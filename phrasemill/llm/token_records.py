@@ -6,12 +6,13 @@ newline; all little-endian. Payload: id of the document (i64), then its token id
 Files follow the order of the document ids. The index, a Parquet table, has the file, offset, length and tokens of
 each record, so that readers can shuffle records without scanning the files.
 
-Documents are range-partitioned by id and sorted before encoding; each task writes its own file through Spark's
-writer, which commits whole files only and reaches any file system that Spark does, and the files are read back
-by Spark as well. The index is built from what was read: a flipped bit in a file raises ValueError.
+Documents are range-partitioned by id and text hash, so that one id with very many rows fills no single task, and sorted before encoding.
+There are as many partitions as it takes for files of FILE_BYTES of text on average; each task writes its own file through Spark's writer, which commits whole files only and reaches any file system that Spark does, and the files are read back
+by Spark as well. The index is built from what was read: a flipped bit in a file raises ValueError. read_records() takes any rows of
+the index, in any order, and cuts their records out of the files at their offsets.
 
-Results: null and empty texts give a record of the end id alone; repeated ids give a record each; an empty table gives no
-records. A null id is written as the smallest 64-bit integer, comes first and is read back as null. Only the id and text columns
+Results: null and empty texts give a record of the end id alone; repeated ids give a record each, in the order of their texts' hashes; an empty
+table gives no records. A null id is written as the smallest 64-bit integer, comes first and is read back as null. Only the id and text columns
 are read.
 """
 
@@ -21,6 +22,7 @@ import json
 import os
 import struct
 import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .common import map_texts, materialize, new_path
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
 END = b"\n"
+#: Bytes of text whose records make one file. Readers get a file as one value, which Spark limits to 2 GB.
+FILE_BYTES = 1 << 26
 INDEX = "file string, doc_id bigint, place bigint, byte_offset bigint, byte_length bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -77,7 +81,7 @@ class Encoder(ChunkStore):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.whole = Tokenizer.from_str(content) if added else self.tokenizer
+        self.content, self._whole = content, None
         config = json.loads(content)
         before = config.get("pre_tokenizer") or {}
         self.by_chunk = config.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
@@ -89,6 +93,17 @@ class Encoder(ChunkStore):
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.width[list(vocabulary.values())] = list(map(len, vocabulary))
 
+    @property
+    def whole(self):
+        """The library as it is, loaded when a text needs it."""
+        if not self.added:
+            return self.tokenizer
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_str(self.content)
+        return self._whole
+
     def encode_strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         ids = np.concatenate(rows)
@@ -128,7 +143,11 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int, i
 
     kind = np.uint16 if max(Tokenizer.from_str(content).get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
     shared = docs.sparkSession.sparkContext.broadcast(content)
-    ordered = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    given = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    given = given.withColumn("h", F.xxhash64("text"))
+    ordered = given.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def make():
         coder = _encoder(shared.value, added)
@@ -165,6 +184,36 @@ def index_records(spark: SparkSession, folder: str, wide: bool = False) -> DataF
     return files.select("path", "content").mapInArrow(run, INDEX)
 
 
+def read_records(wanted: DataFrame, wide: bool = False) -> DataFrame:
+    """(file, byte_offset, doc_id, ids) of rows of the index: each record is cut out of its file at its offset, and its checksums are verified.
+
+    Files without a wanted record are not loaded. For a shuffled reading order the index in random order by parts.
+    """
+    spark = wanted.sparkSession
+    files = [r["file"] for r in wanted.select("file").distinct().collect()]
+    schema = "file string, byte_offset bigint, doc_id bigint, ids array<int>"
+    if not files:
+        return spark.createDataFrame([], schema)
+    spots = wanted.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("byte_offset", "byte_length"))).alias("spots"))
+    # The path of a file is escaped in the index as in the scan, but not where it is loaded.
+    loaded = spark.read.format("binaryFile").load([unquote(f) for f in files]).select(F.col("path").alias("file"), "content")
+
+    def run(batches):
+        kind = np.uint32 if wide else np.uint16
+        for batch in batches:
+            for path, content, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = memoryview(content.as_buffer())
+                for first in range(0, len(own), 1024):
+                    some = own[first : first + 1024]
+                    got = [next(frames(data[s["byte_offset"] : s["byte_offset"] + s["byte_length"]])) for s in some]
+                    columns = [pa.array([path] * len(some)), pa.array([s["byte_offset"] for s in some], pa.int64())]
+                    columns.append(pa.array([None if doc == NO_ID else doc for _, _, doc, _ in got], pa.int64()))
+                    columns.append(pa.array([np.frombuffer(ids, kind).astype(np.int32) for _, _, _, ids in got], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "byte_offset", "doc_id", "ids"])
+
+    return loaded.join(spots, "file").select("file", "content", "spots").mapInArrow(run, schema)
+
+
 def read_positions(index: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): start counts the ids of all records before. The sums run over files, not records."""
     files = index.groupBy("file").agg(F.min("doc_id").alias("first"), F.sum("n_tokens").alias("tokens"))
