@@ -224,7 +224,7 @@ CELLS = 384
 #: Standard deviations between the similarity and an estimate that decides without the sets.
 SURE = 5
 #: Shingle hashes of a block's sets, and queries of a block.
-BLOCK_HASHES, QUERIES = 1 << 20, 8192
+BLOCK_HASHES, QUERIES = 1 << 17, 512
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
 #: Filled cells below which an estimate accepts nothing and rejects at double the distance: cells shared by chance weigh more there.
@@ -453,22 +453,24 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     text = F.col(text_col)
     given = docs.select(F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("row"), text.alias("text"))
-    profiles = materialize(map_texts(given, "row", "text", "doc_id bigint, text_hash bigint, s bigint, size bigint, sketch binary, bands array<bigint>", make), "profiles")
+    profiles = map_texts(given, "row", "text", "doc_id bigint, text_hash bigint, s bigint, size bigint, sketch binary, bands array<bigint>", make)
+    # Rows are numbered as they are written, so that one row stands for a set also where rows repeat.
+    profiles = materialize(profiles.withColumn("number", F.monotonically_increasing_id()), "profiles")
     row = F.struct("doc_id", "text_hash")
-    nodes = materialize(profiles.groupBy("s").agg(F.min(row).alias("row"), F.count("*").alias("n")), "nodes")
+    nodes = materialize(profiles.groupBy("s").agg(F.min(F.struct("doc_id", "text_hash", "number")).alias("row"), F.count("*").alias("n")), "nodes")
     keyed = profiles.select("s", "size", F.explode("bands").alias("key")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
     shared = materialize(keyed.join(ends, "key").select("key", "s", "size", "low").distinct(), "shared")
-    members = shared.select("s").distinct().join(nodes, "s").select("s", "row.doc_id", "row.text_hash")
-    sketches = materialize(profiles.join(members, ["s", "doc_id", "text_hash"]).dropDuplicates(["s", "doc_id", "text_hash"]).select("s", "doc_id", "text_hash", "sketch"), "sketches")
+    members = shared.select("s").distinct().join(nodes, "s").select("row.number")
+    sketches = materialize(profiles.join(members, "number").select("s", "doc_id", "text_hash", "sketch"), "sketches")
     first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).distinct()
-    owners = given.select("row.doc_id", "row.text_hash", "text").join(sketches.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
-    sets = materialize(map_texts(owners, "doc_id", "text", "s bigint, hashes binary", hashed).dropDuplicates(["s"]), "sets")
+    owners = given.select("row.doc_id", "row.text_hash", "text").join(sketches.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    sets = materialize(map_texts(owners, "doc_id", "text", "s bigint, hashes binary", hashed), "sets")
     likely = materialize(estimated(first, sketches, similarity), "likely")
     links = materialize(verified(likely, sets, similarity), "first-links")
     more = block_links(shared, components(links), sets, similarity)
     found = components(links.unionByName(more))
-    roots = materialize(nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "row", "n", F.coalesce("component", "s").alias("root")), "roots")
+    roots = materialize(nodes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", F.struct("row.doc_id", "row.text_hash").alias("row"), "n", F.coalesce("component", "s").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("row").alias("least"))
     labels = materialize(roots.join(least, "root").select("s", "n", "least"), "labels")
     labelled = join_groups(profiles.select("doc_id", "text_hash", "s"), labels, "s", "n", profiles.count()).where(row > F.col("least"))
