@@ -223,6 +223,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     assigned = materialize(reduce(DataFrame.unionByName, [small, *(p for p, _ in parts)]), "assigned")
     blocks = lambda query, size: F.ceil(F.count_if(F.col("query") if query else ~F.col("query")) / size)
     sizes = assigned.groupBy("index", "list").agg(blocks(False, MEMBERS).alias("mb"), blocks(True, QUERIES).alias("qb")).where("mb > 0 and qb > 0")
+    # A row a list: 2 * sqrt(vectors) of them, and a row a further length, of which there are fewer than sqrt(2 * components).
+    sizes = F.broadcast(sizes)
     mix = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     # A member meets every block of queries, a query every block of members; hot lists have more blocks, not larger ones.
     dealt = assigned.join(sizes, ["index", "list"]).withColumns({
