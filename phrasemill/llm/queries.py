@@ -13,7 +13,7 @@ from . import bpe, exact_dedup, langid, ngram_lm, packing, secrets_scan, simhash
 from .chunks import ranges
 from .common import crc_mod
 
-#: Sequence lengths that packing may use, in byte tokens.
+#: Sequence lengths that packing may use, in tokens.
 SEQUENCE_SIZES = (2048, 4096, 8192, 16384, 32768)
 END_ID = 2
 
@@ -96,9 +96,13 @@ def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # A byte is a token here, and every document ends with one more.
-    return packing.pack(docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("length")), SEQUENCE_SIZES)
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Every document as its tokens and one end token, packed into sequences."""
+    counts = bpe.count_tokens(docs, byte_vocabulary())
+    return packing.pack(counts.select("doc_id", (F.col("n_tokens") + 1).alias("length")), SEQUENCE_SIZES)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
