@@ -459,7 +459,7 @@ def test_vector_recall_on_isotropic_vectors(spark, n, d):
 # -- 7 ------------------------------------------------------------------------------------------------------------
 
 
-def test_packing_rows(spark, sf, docs):
+def test_packing_rows(spark, sf, docs, encoding):
     got = defaultdict(list)
     for r in queries.op7_best_fit_packing(spark, sf).collect():
         got[r["bin_id"]].append(r)
@@ -472,12 +472,19 @@ def test_packing_rows(spark, sf, docs):
     for rows in got.values():
         for r in rows:
             pieces[r["doc_id"]] += r["piece_length"]
-    assert pieces == {r["doc_id"]: len((r["text"] or "").encode()) + 1 for r in docs.collect()}
+    assert pieces == {r["doc_id"]: len(encoding.encode_ordinary(r["text"] or "")) + 1 for r in docs.collect()}
 
 
-def brute_fit(lengths, sizes, overhead):
-    bins, left = [], sum(lengths)
+def brute_fit(lengths, sizes, opens, cost):
+    left, bins = sorted(lengths, reverse=True), []
     where = [0] * len(lengths)
+
+    def filled(size):
+        room = size
+        for n in left:
+            room -= n if n <= room else 0
+        return size - room
+
     for n, i in sorted((-n, i) for i, n in enumerate(lengths)):
         n = -n
         fits = [(room, b) for b, (room, _) in enumerate(bins) if room >= n]
@@ -485,19 +492,37 @@ def brute_fit(lengths, sizes, overhead):
             _, b = min(fits)
         else:
             b = len(bins)
-            bins.append([min((s for s in sizes if s >= n), key=lambda s: (s + overhead) / min(s, left)), 0])
+            hold = [s for s in opens if s >= n] or [min(s for s in sizes if s >= n)]
+            bins.append([min(hold, key=lambda s: (cost(s) / filled(s), s)), 0])
         bins[b][0] -= n
         bins[b][1] += n
         where[i] = b
-        left -= n
+        left.remove(n)
     return where, [min(s for s in sizes if s >= used) for _, used in bins]
 
 
 def test_packing_equals_brute_force():
     rng = random.Random(3)
-    for _ in range(30):
+    sizes = (25, 50, 100)
+    for k in range(60):
+        cost = packing.Cost(rng.choice([0, 5, 40]), rng.choice([20, 100, 1000]))
         lengths = [rng.choice([rng.randint(1, 100), 50, 7]) for _ in range(rng.randint(0, 80))]
-        assert packing.best_fit(lengths, (25, 50, 100), 5) == brute_fit(lengths, (25, 50, 100), 5)
+        plans = [brute_fit(lengths, sizes, opens, cost) for opens in (sizes, (25,), (50,), (100,))]
+        assert packing.fit(lengths, sizes, sizes, cost) == plans[0]
+        assert packing.best_fit(lengths, sizes, cost) == min(plans, key=lambda p: sum(map(cost, p[1])))
+
+
+def test_packing_uses_several_sizes_and_beats_one():
+    rng = random.Random(8)
+    cost, sizes = packing.Cost(), queries.SEQUENCE_SIZES
+    total = lambda p: sum(map(cost, p[1]))
+    lengths = [min(32768, max(1, int(rng.lognormvariate(6.5, 1.4)))) for _ in range(20_000)]
+    got = packing.best_fit(lengths, sizes)
+    assert len(set(got[1])) >= 4
+    assert all(total(got) <= total(packing.fit(lengths, sizes, (s,), cost)) for s in sizes)
+    assert total(got) < 0.97 * total(packing.fit(lengths, sizes, sizes[-1:], cost))
+    for b, size in enumerate(got[1]):
+        assert sum(n for n, w in zip(lengths, got[0], strict=True) if w == b) <= size or b > 20
 
 
 def test_packing_odd(spark, monkeypatch):
@@ -565,6 +590,37 @@ def test_edit_query(spark, sf, docs, encoding):
         assert (r["edited_tokens"], r["edited_chars"], r["n_edits"]) == (len(encoding.encode_ordinary(text)), len(text), 3)
 
 
+def test_kept_trees_go_on(spark, texts, encoding):
+    rng = random.Random(4)
+    state = {d: t for d, t in list(texts.items())[:60]} | {-1: "", -2: None}
+    rows = [(d, t, None) for d, t in state.items()]
+    schema = f"doc_id int, text string, tree {token_count.TREE}, edits {token_count.EDITS}"
+    for k in range(4):
+        edits = {d: [(rng.randint(0, len(t or "")), rng.choice([0, 3]), rng.choice(["", " new words", "x"]))] for d, t, _ in rows}
+        df = spark.createDataFrame([(*r, edits[r[0]]) for r in rows], schema)
+        got = {r["doc_id"]: r for r in token_count.edited_counts(df, queries.byte_vocabulary(), tree_col="tree", keep=True).collect()}
+        for d, t, _ in rows:
+            (pos, removed, added), t = edits[d][0], t or ""
+            new = t[:pos] + added + t[pos + removed :]
+            assert (got[d]["n_tokens"], got[d]["edited_tokens"], got[d]["edited_text"]) == (len(encoding.encode_ordinary(t)), len(encoding.encode_ordinary(new)), new)
+            assert sum(x["tokens"] for x in got[d]["tree"]) == got[d]["edited_tokens"]
+        rows = [(d, got[d]["edited_text"], got[d]["tree"]) for d, _, _ in rows]
+    # A tree of another text is not used.
+    df = spark.createDataFrame([(1, "some other words", [(3, 99)], [])], schema)
+    assert token_count.edited_counts(df, queries.byte_vocabulary(), tree_col="tree").first()["n_tokens"] == 3
+
+
+def test_kept_trees_encode_only_edits(monkeypatch):
+    codec = bpe.Codec(queries.byte_vocabulary())
+    tree = token_count.TokenTree.of(codec, "word " * 20_000)
+    again = token_count.TokenTree.kept(tree.text, tree.leaves())
+    seen = []
+    count = codec.count_chunks
+    monkeypatch.setattr(codec, "count_chunks", lambda c: seen.append(sum(map(len, c))) or count(c))
+    again.edit(codec, 50_000, 3, "new text")
+    assert seen[0] < 1000 and again.encoded == seen[0] and again.total == token_count.TokenTree.of(codec, again.text).total
+
+
 def test_edit_odd(spark, odd):
     given = odd.withColumn("edits", F.when(F.col("doc_id") % 2 == 0, F.expr("array(null, named_struct('pos', null, 'removed', 3, 'added', null))")))
     assert token_count.edited_counts(given, queries.byte_vocabulary()).count() == len(ODD)
@@ -614,6 +670,45 @@ def test_records_query_follows_the_plain_library_on_added_tokens(spark, tmp_path
         start += len(ids)
 
 
+def test_records_are_read_at_their_offsets(spark, odd, encoding, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_records, "FILE_BYTES", 1000)
+    given = odd.withColumn("doc_id", F.when(F.col("doc_id") < 6, 7).when(F.col("doc_id") > 10, None).otherwise(F.col("doc_id")))
+    out = f"{tmp_path}/some records"
+    token_records.write_records(given, P.path("byte_bpe_50k.json"), out, 2)
+    index = token_records.index_records(spark, out).cache()
+    assert index.select("file").distinct().count() > 3
+    texts = defaultdict(list)
+    for r in given.collect():
+        texts[r["doc_id"]].append([*encoding.encode_ordinary(r["text"] or ""), 2])
+    wanted = index.where(F.pmod(F.col("byte_offset"), F.lit(3)) < 2)
+    for rows, whole in ((index, True), (wanted, False)):
+        got = defaultdict(list)
+        for r in token_records.read_records(rows).collect():
+            got[r["doc_id"]].append(r["ids"])
+        assert sum(map(len, got.values())) == rows.count()
+        assert not whole or {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in texts.items()}
+        assert all(x in texts[d] for d, y in got.items() for x in y)
+    assert token_records.read_records(index.where("false")).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [("2020-01-01", 1, "a b c d e f"), ("2020-01-02", 1, "a b c d e f"), (None, None, None)]
+    df = spark.createDataFrame(rows, "day string, n int, text string").withColumn("day", F.to_date("day")).withColumn("length", F.lit(5))
+    vocabulary = queries.byte_vocabulary()
+    for key in ("day", "n"):
+        want = sorted(df.select(key).collect(), key=str)
+        edits = df.withColumn("edits", F.lit(None).cast(token_count.EDITS))
+        for got in (bpe.encode(df, vocabulary, key), bpe.count_tokens(df, vocabulary, key), langid.identify(df, None, key), secrets_scan.scan_secrets(df, id_col=key), packing.pack(df, (8,), key), token_count.edited_counts(edits, vocabulary, key)):
+            assert sorted(got.select(key).collect(), key=str) == want
+            assert got.schema[key].dataType == df.schema[key].dataType
+    small = df.select(F.col("n").alias("doc_id"), "text")
+    assert simhash.near_duplicates(small).count() == 3
+    model, rest = ngram_lm.train(small)
+    assert ngram_lm.score(small, model, rest).count() == 3
+    assert exact_dedup.deduplicate(small, exact_dedup.fresh_index(spark)).count() == 3
+    assert token_records.token_records(small, P.path("byte_bpe_50k.json"), 2).count() == 3
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "x"), (3, "a b c d e f"), (4, None)], "doc_id bigint, text string")
     assert bpe.encode(df, queries.byte_vocabulary()).count() == simhash.near_duplicates(df).count() == 4
