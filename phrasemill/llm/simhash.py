@@ -225,6 +225,8 @@ CELLS = 384
 SURE = 5
 #: Shingle hashes of a block's sets, and queries of a block.
 BLOCK_HASHES, QUERIES = 1 << 17, 512
+#: Rows of 16 bytes that may be broadcast.
+FEW_ROWS = 500_000
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
 #: Filled cells below which an estimate accepts nothing and rejects at double the distance: cells shared by chance weigh more there.
@@ -464,7 +466,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     members = shared.select("s").distinct().join(nodes, "s").select("row.number")
     sketches = materialize(profiles.join(members, "number").select("s", "doc_id", "text_hash", "sketch"), "sketches")
     first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).distinct()
-    owners = given.select("row.doc_id", "row.text_hash", "text").join(sketches.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    chosen = sketches.select("doc_id", "text_hash")
+    # Few candidates go to the texts; else the texts are dealt by row.
+    chosen = F.broadcast(chosen) if chosen.count() <= FEW_ROWS else chosen
+    owners = given.select("row.doc_id", "row.text_hash", "text").join(chosen, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     sets = materialize(map_texts(owners, "doc_id", "text", "s bigint, hashes binary", hashed), "sets")
     likely = materialize(estimated(first, sketches, similarity), "likely")
     links = materialize(verified(likely, sets, similarity), "first-links")
