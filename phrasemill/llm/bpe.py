@@ -255,12 +255,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
     return map_texts(df, id_col, text_col, f"_id {kind}, {rest}", make).withColumnRenamed("_id", id_col)
 
 
-def count_tokens(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens bigint) of each whole text; null counts as empty."""
+def count_tokens(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """(id_col, n_tokens bigint) of each whole text; null counts as empty. With `keep` a worker keeps the codec for later tasks, else its memory is free again after each."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        codec = _codec(shared)
+        codec = _codec(shared) if keep else Codec(shared.value)
         return lambda keys, texts: pa.RecordBatch.from_arrays([keys, pa.array(np.diff(codec.encode(texts)[1]))], ["_id", "n_tokens"])
 
     return map_texts(df, id_col, text_col, f"_id {df.schema[id_col].dataType.simpleString()}, n_tokens bigint", make).withColumnRenamed("_id", id_col)

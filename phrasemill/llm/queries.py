@@ -99,9 +99,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    """Every document as its tokens and one end token, packed into sequences."""
-    counts = bpe.count_tokens(docs, byte_vocabulary())
+def pack_documents(docs: DataFrame, keep: bool = True) -> DataFrame:
+    """Every document as its tokens and one end token, packed into sequences. `keep`: see bpe.count_tokens."""
+    counts = bpe.count_tokens(docs, byte_vocabulary(), keep=keep)
     return packing.pack(counts.select("doc_id", (F.col("n_tokens") + 1).alias("length")), SEQUENCE_SIZES)
 
 
