@@ -23,6 +23,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from . import cluster_queries, decision_queries, family_queries, label_queries, model_queries, review_queries, source_queries, text_queries  # noqa: F401
+    from . import cluster_queries, family_queries, label_queries, model_queries, review_queries, source_queries, text_queries  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash32, rounded
 from ..operators import clusters as C
+from ..sources.written import written
 from . import query
 from .inputs import DECIDED, SETTINGS, decided, h32, r, table
 from .review_queries import DECISIONS, decisions
@@ -44,7 +45,7 @@ def intent_counts(spark, sf):
         {r('avg(cluster_probability)')} AS average_cluster_probability, any_value(representatives) AS representatives
     FROM d JOIN e ON d.intent = e.intent AND d.cluster = e.cluster GROUP BY 1, 2""")
 def cluster_summary(spark, sf):
-    s = C.summary(decided(spark, sf).persist().where("intent <> 'garbage'"))
+    s = C.summary(written(decided(spark, sf), "decided").where("intent <> 'garbage'"))
     return s.withColumns({c: rounded(c, 6) for c in ("average_confidence", "average_cluster_probability")})
 
 
@@ -77,7 +78,7 @@ _AUDIT = f"""(WITH o AS (SELECT intent, cluster, phrase, min(source_row) AS sour
 
 @query(f"SELECT * FROM {_AUDIT}")
 def cluster_audit(spark, sf):
-    return C.audit(decided(spark, sf).persist())
+    return C.audit(decided(spark, sf))
 
 
 def _exact(spark, sf):
@@ -101,8 +102,8 @@ def cluster_decision_lookup(spark, sf):
 
 def _candidates(spark, sf):
     """Limits a little wider than the quantiles, so that random scores have candidates."""
-    # Read by the thresholds, the decisions and the candidates: the same plan, so all of them find it cached.
-    d = decided(spark, sf).persist()
+    # Read by the thresholds, the decisions and the candidates.
+    d = written(decided(spark, sf), "decided")
     wide = C.outlier_thresholds(d).withColumns({"membership_max": F.col("membership_max") + 0.2, "garbage_min": F.col("garbage_min") - 0.05})
     return d, C.outlier_candidates(d, decisions(spark, sf), wide, _exact(spark, sf))
 

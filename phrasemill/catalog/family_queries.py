@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import families as FF
 from ..functions.text import normalize
 from ..operators import families as M
+from ..sources.written import written
 from . import query
 from .inputs import PHRASES_DOC, norm, phrases_doc
 
@@ -65,7 +66,7 @@ def family_band(spark, sf):
 def _selected(spark, sf):
     base = _base(spark, sf)
     rows = base.count()
-    counts = M.family_counts(base).persist()
+    counts = written(M.family_counts(base), "counts")
     return base, M.select_families(counts, rows), rows
 
 

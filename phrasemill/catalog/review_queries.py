@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import in_sample, rounded, unit_interval
 from ..operators import review as R
+from ..sources.written import written
 from . import query
 from .inputs import DECIDED, SCORED, SETTINGS, decided, h32, r, scored, unit
 
@@ -41,7 +42,7 @@ _REP = """(SELECT normalized, source_row, search_volume, intent, 6 AS bucket, 'R
 
 @query(_queue(f"d AS MATERIALIZED (SELECT * FROM {DECIDED}), rest AS (SELECT * FROM d WHERE intent <> 'garbage' AND NOT quarantined)", [_bucket(*p, k) for k, p in enumerate(_PARTS)] + [_REP]))
 def human_review_queue(spark, sf):
-    return R.human_review(decided(spark, sf).persist(), G)
+    return R.human_review(written(decided(spark, sf), "decided"), G)
 
 
 def _two(src, reason, place, each, limit, order, turn):
@@ -60,7 +61,7 @@ _LARGE = [
 
 @query(_queue(f"d AS MATERIALIZED (SELECT * FROM {DECIDED})", [_two(*p, k) for k, p in enumerate(_LARGE)]))
 def large_review_queue(spark, sf):
-    return R.large_review(decided(spark, sf).persist(), G)
+    return R.large_review(written(decided(spark, sf), "decided"), G)
 
 
 def decisions(spark, sf):

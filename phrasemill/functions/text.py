@@ -1,4 +1,4 @@
-"""Text functions as Column expressions, all inside whole-stage code generation."""
+"""Text functions as Column expressions. They run in the JVM; those with higher-order functions outside whole-stage code generation."""
 
 from __future__ import annotations
 

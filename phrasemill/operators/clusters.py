@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import as_column, dot, hits, in_sample, rounded
+from ..functions.text import as_column, hits, in_sample, rounded
+from ..sources.written import written
 from .decide import Settings
 
 
-def vector_literal(v) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+def products(vectors: pd.Series, matrix: np.ndarray) -> np.ndarray:
+    """Inner products of a batch of vectors with the rows of a matrix, in double precision."""
+    return np.stack(vectors.to_numpy()).astype(np.float64) @ matrix.T if len(vectors) else np.zeros((0, len(matrix)))
 
 
 def best_similarity(vec: Column | str, seeds: list) -> Column:
-    """Largest inner product with a seed; 0 without seeds. Seeds are a short configured list, so they are literals, not a join."""
-    if not seeds:
+    """Largest inner product with a seed; 0 without seeds. Seeds are a short configured list, which goes to the workers as one matrix."""
+    if not len(seeds):
         return F.lit(0.0)
-    table = F.array(*[vector_literal(s) for s in seeds])
-    return F.array_max(F.transform(table, lambda s: dot(as_column(vec), s)))
+    matrix = np.array(seeds, np.float64)
+
+    @F.pandas_udf("double")
+    def best(vectors: pd.Series) -> pd.Series:
+        return pd.Series(products(vectors, matrix).max(axis=1))
+
+    return best(as_column(vec))
 
 
 def assign(df: DataFrame, centroids: dict[str, list], vec: str = "vec") -> DataFrame:
     """Adds cluster and similarity: the centroid with the largest inner product, the first by name among equals."""
-    table = F.array(*[F.struct(F.lit(name).alias("name"), vector_literal(v).alias("v")) for name, v in sorted(centroids.items())])
-    scores = F.transform(table, lambda c: F.struct(dot(F.col(vec), c["v"]).alias("s"), c["name"].alias("name")))
-    best = F.aggregate(scores, F.struct(F.lit(float("-inf")).alias("s"), F.lit("").alias("name")), lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))
-    return df.withColumn("_b", best).withColumns({"cluster": F.col("_b.name"), "similarity": F.col("_b.s")}).drop("_b")
+    names = np.array(sorted(centroids))
+    matrix = np.array([centroids[n] for n in names], np.float64)
+
+    @F.pandas_udf("cluster string, similarity double")
+    def best(vectors: pd.Series) -> pd.DataFrame:
+        scores = products(vectors, matrix)
+        at = scores.argmax(axis=1)
+        return pd.DataFrame({"cluster": names[at], "similarity": scores[np.arange(len(at)), at]})
+
+    return df.withColumn("_b", best(F.col(vec))).withColumns({"cluster": F.col("_b.cluster"), "similarity": F.col("_b.similarity")}).drop("_b")
 
 
 def cluster_count(rows: int) -> int:
@@ -60,25 +77,32 @@ def summary_by_parts(df: DataFrame, part: str = "part", legacy: bool = False) ->
 
 
 def outlier_thresholds(df: DataFrame, divisor: int = 20) -> DataFrame:
-    """Per relevant cluster: the 5 % quantile of membership and the 90 % quantile of garbage probability on a fixed hash sample; of all rows where the sample has none."""
+    """Per relevant cluster: the 5 % quantile of membership and the 90 % quantile of garbage probability on a fixed hash sample; of all rows where the sample has none.
+
+    Quantiles of all rows are taken of clusters without sampled rows alone, and those are small.
+    """
+    key = ["intent", "cluster"]
     rows = df.where("intent <> 'garbage' and cluster <> 'Unclustered'")
-    chosen = in_sample("phrase", divisor)
-    quantile = lambda x, q: F.coalesce(F.percentile(F.when(chosen, F.col(x)), F.lit(q)), F.percentile(F.col(x), F.lit(q)))
-    return rows.groupBy("intent", "cluster").agg(quantile("cluster_probability", 0.05).alias("membership_max"), quantile("p_garbage", 0.90).alias("garbage_min"))
+    quantiles = [F.percentile("cluster_probability", F.lit(0.05)).alias("membership_max"), F.percentile("p_garbage", F.lit(0.90)).alias("garbage_min")]
+    sampled = rows.where(in_sample("phrase", divisor)).groupBy(*key).agg(*quantiles).where("membership_max is not null and garbage_min is not null")
+    rest = rows.join(F.broadcast(sampled.select(*key)), key, "left_anti").groupBy(*key)
+    filled = lambda name, q: F.coalesce(F.percentile(F.when(in_sample("phrase", divisor), F.col(name)), F.lit(q)), F.percentile(name, F.lit(q)))
+    return sampled.unionByName(rest.agg(filled("cluster_probability", 0.05).alias("membership_max"), filled("p_garbage", 0.90).alias("garbage_min")))
 
 
 def audit(df: DataFrame) -> DataFrame:
     """Representatives of each relevant cluster by role; (id, intent, cluster, role, phrase, review_id).
 
     Two centres, the highest volume, the highest garbage risk and the boundary; a phrase keeps its first role, five a cluster at most.
+    Each role is a ranking of its own with a bound, so tasks pass on their first rows alone and no cluster is sorted whole.
     """
     rows = df.where("intent <> 'garbage' and cluster <> 'Unclustered'")
     key = ["intent", "cluster"]
     one = rows.groupBy(*key, "phrase").agg(F.min(F.struct("source_row", "cluster_probability", "search_volume", "p_garbage")).alias("x")).select(*key, "phrase", "x.*")
-    rank = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order, "source_row"))
-    ranked = one.withColumns({"r1": rank(F.desc("cluster_probability")), "r2": rank(F.desc("search_volume")), "r3": rank(F.desc("p_garbage")), "r4": rank(F.col("cluster_probability"))})
-    role = F.when(F.col("r1") <= 2, 1).when(F.col("r2") == 1, 2).when(F.col("r3") == 1, 3).when(F.col("r4") == 1, 4)
-    chosen = ranked.withColumn("place", role).where("place is not null")
+    one = written(one, "representatives")
+    first = lambda place, n, order: one.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(order, "source_row"))).where(F.col("_n") <= n).select(*key, "phrase", F.lit(place).alias("place"))
+    roles = [first(1, 2, F.desc("cluster_probability")), first(2, 1, F.desc("search_volume")), first(3, 1, F.desc("p_garbage")), first(4, 1, F.col("cluster_probability"))]
+    chosen = reduce(DataFrame.unionByName, roles).groupBy(*key, "phrase").agg(F.min("place").alias("place"))
     sizes = rows.groupBy(*key).agg(F.count("*").alias("n"))
     # Clusters are few (80 an intent): numbering them is one small window.
     ids = sizes.withColumn("id", F.format_string("RC%04d", F.row_number().over(Window.orderBy(F.desc("n"), *key))))
@@ -146,14 +170,19 @@ def names(df: DataFrame, stop_words: tuple[str, ...] = (), features: int = 300,
     stops = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
     tokens = F.filter(F.split("normalized", " "), lambda t: (F.char_length(t) >= 2) & ~F.array_contains(stops, t))
     pairs = lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    rows = df.where("cluster <> 'Unclustered'").select(*key, "source_row", tokens.alias("t"))
+    # A row's terms and their counts are found within the row, so the rows themselves are never dealt by term.
+    grams = F.concat("t", pairs(F.col("t")))
+    counts = F.transform(F.array_distinct("x"), lambda t: F.struct(t.alias("term"), F.size(F.filter("x", lambda y: y == t)).alias("tf")))
+    rows = df.where("cluster <> 'Unclustered'").select(*key, "source_row", tokens.alias("t")).select(*key, "source_row", grams.alias("x")).select(*key, "source_row", counts.alias("x"))
+    rows = written(rows, "terms")
     sizes = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    tf = rows.select(*key, "source_row", F.explode(F.concat("t", pairs(F.col("t")))).alias("term")).groupBy(*key, "source_row", "term").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    df_ = rows.select(*key, F.inline("x")).groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     top = df_.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("total"), "term"))).where(F.col("_n") <= features)
-    weighted = tf.join(top.join(sizes, key), [*key, "term"]).withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
-    norm = weighted.groupBy(*key, "source_row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    means = weighted.join(norm, [*key, "source_row"]).groupBy(*key, "term", "n").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).withColumn("m", rounded(F.col("s") / F.col("n"), 9))
+    # At most `features` terms of each of the few clusters: a table of bounded size.
+    kept = F.broadcast(top.join(F.broadcast(sizes), key).select(*key, "term", "n", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+    weighted = rows.select(*key, "source_row", F.inline("x")).join(kept, [*key, "term"]).select(*key, "source_row", "n", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("y"))
+    vectors = weighted.groupBy(*key, "source_row", "n").agg(F.sqrt(F.sum(F.col("y.w") * F.col("y.w"))).alias("norm"), F.collect_list("y").alias("y"))
+    means = vectors.select(*key, "n", "norm", F.inline("y")).groupBy(*key, "term", "n").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).withColumn("m", rounded(F.col("s") / F.col("n"), 9))
     best = means.where(F.char_length("term") > 2).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("m"), F.desc("term")))).where(F.col("_n") <= terms)
     return best.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]), " / ").alias("name"))
 

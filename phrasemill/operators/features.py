@@ -7,6 +7,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +84,31 @@ class HashedGrams:
         self.dimension = dimension
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), self.dimension), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            padded = f" {' '.join(text.split())} ".encode()
-            grams = [zlib.crc32(padded[i : i + n]) for n in SIZES for i in range(len(padded) - n + 1)]
-            if grams:
-                h = np.array(grams, np.uint32)
-                np.add.at(row, h % self.dimension, np.where(h >> 31, 1.0, -1.0).astype(np.float32))
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.maximum(norm, 1e-12)
+        """All grams of all texts at once: a rolling hash over their bytes, one pass a gram size."""
+        padded = [f" {' '.join(t.split())} ".encode() for t in texts]
+        size = np.fromiter(map(len, padded), np.int64, len(padded))
+        data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
+        row = np.repeat(np.arange(len(texts)), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(data))
+        out, h = np.zeros(len(texts) * self.dimension), np.zeros(len(data), np.uint32)
+        for n in range(1, max(SIZES) + 1):
+            if n > len(data):
+                break
+            end = len(data) - n + 1
+            h[:end] = h[:end] * np.uint32(0x01000193) + data[n - 1 :]
+            if n in SIZES:
+                whole = np.flatnonzero(left >= n)
+                x = mixed(h[whole])
+                out += np.bincount(row[whole] * self.dimension + x % np.uint32(self.dimension), np.where(x >> np.uint32(31), 1.0, -1.0), len(out))
+        out = out.reshape(len(texts), self.dimension).astype(np.float32)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """32-bit hashes whose bits all depend on all of h."""
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
 
 
 def embed(df: DataFrame, text: str, provider: EmbeddingProvider, prefix: str = "") -> DataFrame:
@@ -107,3 +125,33 @@ def embed(df: DataFrame, text: str, provider: EmbeddingProvider, prefix: str = "
 
 def hashed_grams(df: DataFrame, text: str, dimension: int = 256) -> DataFrame:
     return embed(df, text, HashedGrams(dimension))
+
+
+# -- grams beside the vectors ------------------------------------------------------------------------------------------------------
+
+#: Grams kept, weight of the grams beside the vector in the models of relevance and of intent.
+STRUCTURAL = 30_000
+RELEVANCE_WEIGHT, INTENT_WEIGHT = 0.35, 1.25
+
+
+def structural(corpus: DataFrame, text: str, features: int = STRUCTURAL) -> PipelineModel:
+    """Fits tf-idf of character grams on a corpus of labelled phrases; the model gives sparse unit vectors in column `structural`.
+
+    It runs in the JVM. A gram that a phrase repeats counts once, which for short phrases is nearly the damped count.
+    """
+    grams = corpus.select(char_grams(F.col(text)).alias("_grams"))
+    counted = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=features, minDF=1, binary=True).fit(grams)
+    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted.transform(grams)).idf.toArray()
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf + 1.0), inputCol="_counts", outputCol="_scaled")
+    return PipelineModel([counted, scaled, Normalizer(p=2.0, inputCol="_scaled", outputCol="structural")])
+
+
+def with_structure(df: DataFrame, model: PipelineModel, text: str, weights: dict[str, float], vec: str = "vec") -> DataFrame:
+    """Adds, for each name in weights, the vector followed by the structural one times the weight."""
+    names = df.columns
+    df = model.transform(df.withColumns({"_grams": char_grams(F.col(text)), "_dense": array_to_vector(F.col(vec))}))
+    size = len(model.stages[0].vocabulary)
+    for name, weight in weights.items():
+        df = ElementwiseProduct(scalingVec=Vectors.dense([weight] * size), inputCol="structural", outputCol="_weighted").transform(df)
+        df = VectorAssembler(inputCols=["_dense", "_weighted"], outputCol=name).transform(df).drop("_weighted")
+    return df.select(*names, *weights)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, hits, label_of, normalize, rounded, unsafe_reason
+from ..functions.text import folded, hits, label_of, marker_text, normalize, rounded, unsafe_reason
 
 AUXILIARY = ("model_reviewed", "review_corrected")
+#: How many entries the lists of a policy need.
+LEAST_POLICY = {"commercial_prototypes": 3, "implicit_commercial_prototypes": 5, "informational_prototypes": 5, "commercial_signals": 5, "informational_signals": 12, "weak_question_signals": 3, "relevant_prototypes": 5, "garbage_prototypes": 5}
 #: How many rows a review needs.
 PRIORITY_ROWS, LEAST_LABELS, LEAST_EXAMPLES, LEAST_SEEDS = 50, 150, 3, 5
 
@@ -270,16 +272,24 @@ def import_feedback(sheet: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def signal_overlap(commercial: tuple[str, ...], informational: tuple[str, ...]) -> list[str]:
-    """Signals that both lists have."""
-    return sorted({s.strip().lower() for s in commercial} & {s.strip().lower() for s in informational})
+    """Signals that both lists have, in the form that markers take: lower case without punctuation."""
+    return sorted({marker_text(s) for s in commercial} & {marker_text(s) for s in informational} - {""})
+
+
+def folded_key(text: str) -> str:
+    return " ".join(text.lower().replace("ё", "е").split())
 
 
 def apply_policy(rows: DataFrame, lists: dict[str, list[str]], baseline: dict | None = None) -> dict:
     """Checks lists of signals and prototypes before they are used; raises ValueError where they are too few or overlap.
 
-    Returns the lists without unsafe signals, what was rejected, and the coverage; with a baseline the guard decides.
+    Returns the lists without unsafe signals, what was rejected, and the coverage; with a baseline the guard decides. Repeats within a list count
+    once, and weak questions that are also strong signals are left out.
     """
-    for name, least in {"commercial_signals": 3, "informational_signals": 5, "commercial_prototypes": 5, "implicit_commercial_prototypes": 5, "informational_prototypes": 5, "weak_question_signals": 3}.items():
+    lists = {name: list({folded_key(v): v for v in reversed(values) if v.strip()}.values())[::-1] for name, values in lists.items()}
+    strong = {marker_text(s) for name in ("commercial_signals", "informational_signals") for s in lists.get(name, [])}
+    lists["weak_question_signals"] = [s for s in lists.get("weak_question_signals", []) if marker_text(s) not in strong]
+    for name, least in LEAST_POLICY.items():
         if len(lists.get(name, [])) < least:
             raise ValueError(f"{name}: {least} at least")
     if both := signal_overlap(tuple(lists["commercial_signals"]), tuple(lists["informational_signals"])):

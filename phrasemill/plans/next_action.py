@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from ..operators.labels import LEAST_POLICY
+
 #: Fixed values of the protocol.
 INITIAL, SMALL, PER_INTENT, STANDARD, DIRTY = 150, 500, 30, 300, 500
 LEAST_AUDITS, MOST_AUDITS, INTENT_AUDITS, POLICY_AUDITS, ATTEMPTS = 3, 6, 2, 1, 2
-LEAST_POLICY = {"commercial_prototypes": 3, "implicit_commercial_prototypes": 5, "informational_prototypes": 5, "commercial_signals": 5, "informational_signals": 12, "weak_question_signals": 3, "relevant_prototypes": 5, "garbage_prototypes": 5}
 BATCH = {"label": 50, "families": 20, "coverage": 50, "audit": 50, "clusters": 30}
 MEDIUM = 5000
 
