@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash32, normalize, unit_interval
 from ..operators.decide import Settings, decide
+from ..sources.written import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,7 @@ PHRASES_PART = "(SELECT p_name AS phrase, p_retailprice AS search_volume, p_part
 
 def phrases_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the documents: doc_id, pos, phrase, source_row."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("pos", "phrase"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("pos", "phrase"))
     docs = docs.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.trim("phrase").alias("phrase")).where("phrase <> ''")
     return docs.withColumn("source_row", F.col("doc_id") * 100000 + F.col("pos"))
 

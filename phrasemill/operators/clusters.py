@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,25 +169,57 @@ def family_audit(df: DataFrame, s: Settings) -> DataFrame:
     return sums.join(examples, "family").withColumns({"expected_share": rounded(share, 6), "status": status})
 
 
+def grams_of(phrase: str, stops: frozenset[str]) -> Counter:
+    """Words of two characters and more that are no stop words, and pairs of neighbours among them, with their counts."""
+    words = [w for w in phrase.split(" ") if len(w) >= 2 and w not in stops]
+    return Counter(chain(words, map(" ".join, zip(words, words[1:], strict=False))))
+
+
 def names(df: DataFrame, stop_words: tuple[str, ...] = (), features: int = 300, terms: int = 3) -> DataFrame:
-    """(intent, cluster, name): the words and word pairs with the largest mean tf-idf in the cluster, its own phrases as the corpus."""
+    """(intent, cluster, name): the words and word pairs with the largest mean tf-idf in the cluster, its own phrases as the corpus.
+
+    Tasks count their own phrases, one after another, and pass on sums a cluster and term; phrases themselves are never dealt by term, and
+    a very long one costs no more than its length. The terms kept are `features` a cluster at most, and clusters are few, so they go to all tasks.
+    """
     key = ["intent", "cluster"]
-    stops = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    tokens = F.filter(F.split("normalized", " "), lambda t: (F.char_length(t) >= 2) & ~F.array_contains(stops, t))
-    pairs = lambda t: F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    # A row's terms and their counts are found within the row, so the rows themselves are never dealt by term.
-    grams = F.concat("t", pairs(F.col("t")))
-    counts = F.transform(F.array_distinct("x"), lambda t: F.struct(t.alias("term"), F.size(F.filter("x", lambda y: y == t)).alias("tf")))
-    rows = df.where("cluster <> 'Unclustered'").select(*key, "source_row", tokens.alias("t")).select(*key, "source_row", grams.alias("x")).select(*key, "source_row", counts.alias("x"))
-    rows = written(rows, "terms")
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    df_ = rows.select(*key, F.inline("x")).groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    top = df_.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("total"), "term"))).where(F.col("_n") <= features)
-    # At most `features` terms of each of the few clusters: a table of bounded size.
-    kept = F.broadcast(top.join(F.broadcast(sizes), key).select(*key, "term", "n", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    weighted = rows.select(*key, "source_row", F.inline("x")).join(kept, [*key, "term"]).select(*key, "source_row", "n", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("y"))
-    vectors = weighted.groupBy(*key, "source_row", "n").agg(F.sqrt(F.sum(F.col("y.w") * F.col("y.w"))).alias("norm"), F.collect_list("y").alias("y"))
-    means = vectors.select(*key, "n", "norm", F.inline("y")).groupBy(*key, "term", "n").agg(F.sum(F.col("w") / F.col("norm")).alias("s")).withColumn("m", rounded(F.col("s") / F.col("n"), 9))
+    stops = frozenset(stop_words)
+    rows = written(df.where("cluster <> 'Unclustered'").select(*key, "normalized"), "names")
+
+    def sums(worker: Callable[[tuple[str, str], str], Iterable[tuple[str, tuple]]], columns: list[str], kinds: list[pa.DataType]):
+        """A function over batches (intent, cluster, normalized) that adds up what the worker gives for a phrase, term by term."""
+
+        def run(batches):
+            for batch in batches:
+                total: dict[tuple, list] = {}
+                for own, phrase in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+                    for term, values in worker(own, phrase or ""):
+                        at = total.setdefault((*own, term), [0] * len(values))
+                        for k, x in enumerate(values):
+                            at[k] += x
+                fields = list(zip(*((*k, *v) for k, v in total.items()), strict=True)) or [[] for _ in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, kinds, strict=True)], columns)
+
+        return run
+
+    text = [pa.string()] * 3
+    count = sums(lambda own, phrase: ((t, (1, n)) for t, n in grams_of(phrase, stops).items()), [*key, "term", "df", "total"], [*text, pa.int64(), pa.int64()])
+    counts = rows.mapInArrow(count, "intent string, cluster string, term string, df bigint, total bigint").groupBy(*key, "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    top = counts.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("total"), "term"))).where(F.col("_n") <= features)
+    sizes = {(r["intent"], r["cluster"]): r["n"] for r in rows.groupBy(*key).agg(F.count("*").alias("n")).collect()}
+    kept: dict[tuple, dict[str, float]] = {own: {} for own in sizes}
+    for r in top.collect():
+        kept[r["intent"], r["cluster"]][r["term"]] = math.log((1 + sizes[r["intent"], r["cluster"]]) / (1 + r["df"])) + 1
+    shared = df.sparkSession.sparkContext.broadcast(kept)
+
+    def weights(own, phrase):
+        idf = shared.value[own]
+        found = [(t, n * idf[t]) for t, n in grams_of(phrase, stops).items() if t in idf]
+        norm = math.sqrt(sum(w * w for _, w in found))
+        return ((t, (w / norm,)) for t, w in found)
+
+    share = sums(weights, [*key, "term", "s"], [*text, pa.float64()])
+    n = df.sparkSession.createDataFrame([(*own, k) for own, k in sizes.items()], "intent string, cluster string, n bigint")
+    means = rows.mapInArrow(share, "intent string, cluster string, term string, s double").groupBy(*key, "term").agg(F.sum("s").alias("s")).join(F.broadcast(n), key).withColumn("m", rounded(F.col("s") / F.col("n"), 9))
     best = means.where(F.char_length("term") > 2).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("m"), F.desc("term")))).where(F.col("_n") <= terms)
     return best.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda x: x["term"]), " / ").alias("name"))
 
