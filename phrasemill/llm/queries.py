@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, langid, ngram_lm, packing, secrets_scan, simhash, token_count, token_records, vector_dedup
 from .chunks import ranges
-from .common import crc_mod
+from .common import crc_mod, spread
 
 #: Sequence lengths that packing may use, in tokens.
 SEQUENCE_SIZES = (2048, 4096, 8192, 16384, 32768)
@@ -19,7 +19,7 @@ END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def byte_vocabulary(path: str | None = None) -> bpe.Vocabulary:
