@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
     """A small table in fewer files than there are cores, dealt evenly: a file with one row group would be one task. Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < most
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < most
     return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
