@@ -63,7 +63,7 @@ THRESHOLDS = f"""(SELECT intent, cluster, coalesce(quantile_cont(cluster_probabi
 
 @query(f"SELECT intent, cluster, {r('membership_max')} AS membership_max, {r('garbage_min')} AS garbage_min FROM {THRESHOLDS}")
 def cluster_outlier_thresholds(spark, sf):
-    return C.outlier_thresholds(decided(spark, sf)).withColumns({c: rounded(c, 6) for c in ("membership_max", "garbage_min")})
+    return C.outlier_thresholds(written(decided(spark, sf), "decided")).withColumns({c: rounded(c, 6) for c in ("membership_max", "garbage_min")})
 
 
 _AUDIT = f"""(WITH o AS (SELECT intent, cluster, phrase, min(source_row) AS source_row, arg_min(cluster_probability, source_row) AS cp, arg_min(search_volume, source_row) AS v, arg_min(p_garbage, source_row) AS g FROM {_REL} GROUP BY 1, 2, 3),
@@ -78,7 +78,7 @@ _AUDIT = f"""(WITH o AS (SELECT intent, cluster, phrase, min(source_row) AS sour
 
 @query(f"SELECT * FROM {_AUDIT}")
 def cluster_audit(spark, sf):
-    return C.audit(decided(spark, sf))
+    return C.audit(written(decided(spark, sf), "decided"))
 
 
 def _exact(spark, sf):
@@ -140,7 +140,7 @@ def _family_audit_sql():
 
 @query(_family_audit_sql())
 def family_audit(spark, sf):
-    return C.family_audit(decided(spark, sf), SETTINGS)
+    return C.family_audit(written(decided(spark, sf), "decided"), SETTINGS)
 
 
 _NAMES = f"""WITH d AS (SELECT intent, cluster, source_row, list_filter(string_split(normalized,' '), lambda t: length(t) >= 2 AND t NOT IN ('the','of')) AS t FROM {DECIDED} WHERE cluster <> 'Unclustered'),
@@ -157,7 +157,7 @@ _NAMES = f"""WITH d AS (SELECT intent, cluster, source_row, list_filter(string_s
 
 @query(_NAMES)
 def cluster_names(spark, sf):
-    return C.names(decided(spark, sf), ("the", "of"))
+    return C.names(written(decided(spark, sf), "decided"), ("the", "of"))
 
 
 # -- vectors ---------------------------------------------------------------------------------------------------------------

@@ -19,6 +19,10 @@ from ..sources.written import written
 from .decide import Settings
 
 
+#: Terms that a task holds before it passes their sums on.
+HELD = 500_000
+
+
 def products(vectors: pd.Series, matrix: np.ndarray) -> np.ndarray:
     """Inner products of a batch of vectors with the rows of a matrix, in double precision."""
     return np.stack(vectors.to_numpy()).astype(np.float64) @ matrix.T if len(vectors) else np.zeros((0, len(matrix)))
@@ -188,16 +192,26 @@ def names(df: DataFrame, stop_words: tuple[str, ...] = (), features: int = 300,
     def sums(worker: Callable[[tuple[str, str], str], Iterable[tuple[str, tuple]]], columns: list[str], kinds: list[pa.DataType]):
         """A function over batches (intent, cluster, normalized) that adds up what the worker gives for a phrase, term by term."""
 
+        def table(total):
+            fields = list(zip(*((*own, t, *v) for own, terms in total.items() for t, v in terms.items()), strict=True)) or [[] for _ in columns]
+            return pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, kinds, strict=True)], columns)
+
         def run(batches):
+            total: dict[tuple, dict[str, list]] = {}
             for batch in batches:
-                total: dict[tuple, list] = {}
                 for own, phrase in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+                    of = total.setdefault(own, {})
                     for term, values in worker(own, phrase or ""):
-                        at = total.setdefault((*own, term), [0] * len(values))
-                        for k, x in enumerate(values):
-                            at[k] += x
-                fields = list(zip(*((*k, *v) for k, v in total.items()), strict=True)) or [[] for _ in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(fields, kinds, strict=True)], columns)
+                        at = of.get(term)
+                        if at is None:
+                            of[term] = list(values)
+                        else:
+                            for k, x in enumerate(values):
+                                at[k] += x
+                if sum(map(len, total.values())) > HELD:
+                    yield table(total)
+                    total = {}
+            yield table(total)
 
         return run
 
