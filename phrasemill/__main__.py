@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from pathlib import Path
+
+#: A reviewed workbook names its job, so these need no --job.
+OF_WORKBOOK = ("feedback", "apply-review", "provenance")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
         sub.add_argument("--quiet", action="store_true")
         if name not in ("knowledge", "forget"):
-            sub.add_argument("--job", required=True)
+            sub.add_argument("--job", required=name not in OF_WORKBOOK)
         for flag, more in options:
             sub.add_argument(flag, **more)
 
@@ -49,6 +51,17 @@ def parser() -> argparse.ArgumentParser:
 PAGES = {"sample": "sample", "family-review": "families", "family-coverage-review": "coverage", "review": "active", "relevance-review": "relevance", "intent-review": "intent", "policy-conflict-review": "policy", "cluster-review": "clusters", "priority-review": "priority", "policy-context": "context"}
 
 
+def _job_of(args: argparse.Namespace, spark):
+    """The job whose id a reviewed workbook carries, exactly once."""
+    from .plans.state import Job
+    from .sources.workbooks import read_workbook
+
+    ids = [r["Value"] for r in read_workbook(spark, args.workbook, "_Workflow").where("Parameter = 'Workflow Job ID'").collect()]
+    if len(ids) != 1:
+        raise ValueError(f"the workbook has {len(ids)} job ids")
+    return Job.find(args.root, ids[0])
+
+
 def execute(args: argparse.Namespace, spark) -> object:
     from .functions.text import marker_text
     from .plans.state import Job
@@ -63,7 +76,8 @@ def execute(args: argparse.Namespace, spark) -> object:
         config = {"topic": {"key": key, "description": args.topic}, "intent": {"default": "commercial"}, "clustering": {}}
         w = Workflow(spark, Job.create(args.root, args.job, config), None if args.reuse_topic == "none" else args.knowledge)
         return w.prepare(args.input, args.sample_size, args.phrase_column, args.frequency_column, args.prior_limit)
-    w = Workflow(spark, Job(Path(args.root) / args.job), args.knowledge)
+    job = Job(f"{args.root}/{args.job}") if args.job else _job_of(args, spark)
+    w = Workflow(spark, job, args.knowledge)
     c = args.command
     if c in PAGES:
         return w.page(PAGES[c], args.limit, getattr(args, "offset", 0), getattr(args, "include_labeled", False))
@@ -80,7 +94,7 @@ def execute(args: argparse.Namespace, spark) -> object:
     simple = {
         "status": lambda: w.job.state() if args.compact else w.status(),
         "next": w.next,
-        "apply-labels": lambda: w.apply_labels(args.labels),
+        "apply-labels": lambda: w.apply_label_file(args.labels),
         "apply-labels-inline": lambda: w.apply_labels(args.labels),
         "apply-family-labels-inline": lambda: w.apply_family_labels(args.labels),
         "apply-cluster-labels-inline": lambda: w.apply_cluster_labels(args.labels),

@@ -166,4 +166,6 @@ def relevance_review(spark, sf):
 
     rows = R.relevance_score(scored(spark, sf).withColumnRenamed("cs", "novelty"))
     first = rows.groupBy("normalized").agg(F.min_by(F.struct("source_row", "pg", "novelty", "score"), "source_row").alias("x")).select("normalized", "x.*")
-    return R.farthest_first(hashed_grams(hash_sample(first, 800, "normalized"), "normalized"), 50)
+    # The two ranked quotas are taken over all phrases, the diverse rest from a pool.
+    pool = hash_sample(first, 800, "normalized").unionByName(R.relevance_heads(first, 50)).dropDuplicates(["source_row"])
+    return R.farthest_first(hashed_grams(pool, "normalized"), 50)

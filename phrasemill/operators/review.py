@@ -154,6 +154,12 @@ def policy_conflicts(decided: DataFrame, limit: int) -> DataFrame:
     return once.orderBy("turn", *key, "source_row").limit(limit)
 
 
+def relevance_heads(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows that the ranked quotas of farthest_first() want: of the highest garbage probability and of the highest novelty, by distributed top-k."""
+    head = lambda name, n: rows.orderBy(F.desc(name), "source_row").limit(n)
+    return head("pg", max(1, limit // 3)).unionByName(head("novelty", max(1, limit // 3) + max(1, limit // 4)))
+
+
 def farthest_first(rows: DataFrame, limit: int) -> DataFrame:
     """The relevance review: a third by garbage probability, a quarter by novelty, the rest greedily farthest from those chosen.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import socket
 import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 
 from ..operators.decide import Settings
+from ..sources import files
 
 SECTIONS = ("topic", "intent", "clustering")
 
@@ -18,13 +19,6 @@ def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def replace_json(path: Path, value: object) -> None:
-    """Writes beside the file and renames, so a reader sees the old or the new content."""
-    beside = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    beside.write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
-    os.replace(beside, path)
-
-
 def flatten(config: dict, prefix: str = "") -> list[tuple[str, str]]:
     """Dotted keys and values; lists joined by ' | '."""
     out: list[tuple[str, str]] = []
@@ -68,80 +62,105 @@ def settings_of(config: dict) -> Settings:
 
 
 class Job:
-    """A folder with config.json, state.json and Parquet tables (sheet, candidates, decided, ...)."""
+    """A folder with config.json, state.json and Parquet tables (sheet, candidates, decided, ...), in any file system that Spark reaches."""
 
-    def __init__(self, folder: str | Path) -> None:
-        self.folder = Path(folder)
+    def __init__(self, folder: str | os.PathLike) -> None:
+        self.folder = str(folder).rstrip("/")
 
     @classmethod
-    def create(cls, root: str | Path, name: str, config: dict) -> Job:
-        job = cls(Path(root) / name)
-        job.folder.mkdir(parents=True, exist_ok=True)
+    def create(cls, root: str | os.PathLike, name: str, config: dict) -> Job:
+        job = cls(f"{str(root).rstrip('/')}/{name}")
+        files.make_folder(job.folder)
         config.setdefault("workflow_job_id", f"seo-{uuid.uuid4().hex[:16]}")
         job.save_config(config)
         return job
 
+    @classmethod
+    def find(cls, root: str | os.PathLike, job_id: str) -> Job:
+        """The one job under root with that id, which a workbook carries."""
+        if not re.fullmatch("seo-[a-f0-9]{16}", job_id or ""):
+            raise ValueError(f"{job_id} is no job id")
+        jobs = [cls(f"{root}/{name}") for name in files.names(str(root)) if files.exists(f"{root}/{name}/config.json")]
+        found = [j for j in jobs if j.config().get("workflow_job_id") == job_id]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} jobs have the id {job_id}")
+        return found[0]
+
+    @property
+    def name(self) -> str:
+        return self.folder.rpartition("/")[2]
+
     def path(self, name: str) -> str:
-        return str(self.folder / name)
+        return f"{self.folder}/{name}"
 
     def has(self, name: str) -> bool:
-        return (self.folder / name).exists()
+        return files.exists(self.path(name))
+
+    def read_json(self, name: str) -> dict:
+        return json.loads(files.read_text(self.path(name)))
+
+    def write_json(self, name: str, value: object) -> None:
+        files.replace_text(self.path(name), json.dumps(value, ensure_ascii=False, indent=2, default=str))
 
     def config(self) -> dict:
-        return json.loads((self.folder / "config.json").read_text(encoding="utf-8"))
+        return self.read_json("config.json")
 
     def save_config(self, config: dict) -> None:
-        replace_json(self.folder / "config.json", config)
+        self.write_json("config.json", config)
 
     def state(self) -> dict:
-        file = self.folder / "state.json"
-        return json.loads(file.read_text(encoding="utf-8")) if file.exists() else {}
+        return self.read_json("state.json") if self.has("state.json") else {}
 
     def update(self, stage: str | None = None, **values) -> dict:
         state = {**self.state(), **values, "updated_at": now()}
         if stage:
             state["stage"] = stage
-        replace_json(self.folder / "state.json", state)
+        self.write_json("state.json", state)
         return state
 
     # -- lock ---------------------------------------------------------------------------------------------------------
 
+    LOCK = ".run.lock.json"
+
     def lock_owner(self) -> dict | None:
-        """The live owner of the run lock."""
-        file = self.folder / ".run.lock.json"
+        """The owner of the run lock, unless it is a process of this machine that has ended. Of other machines nothing is known, so theirs holds."""
         try:
-            owner = json.loads(file.read_text(encoding="utf-8"))
-            os.kill(int(owner["pid"]), 0)
+            owner = self.read_json(self.LOCK)
+            if owner.get("host", socket.gethostname()) == socket.gethostname():
+                os.kill(int(owner["pid"]), 0)
+        except PermissionError:
             return owner
         except (OSError, ValueError, KeyError):
             return None
+        return owner
 
     def acquire(self) -> str:
         """Takes the lock or raises RuntimeError; a lock whose owner is gone is taken over."""
-        file, token = self.folder / ".run.lock.json", uuid.uuid4().hex
+        token = uuid.uuid4().hex
         for _ in range(2):
             try:
-                with os.fdopen(os.open(file, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as out:
-                    json.dump({"pid": os.getpid(), "token": token, "started_at": now()}, out)
+                files.create_text(self.path(self.LOCK), json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "token": token, "started_at": now()}))
                 return token
             except FileExistsError:
                 if self.lock_owner():
                     raise RuntimeError("a run is active") from None
-                file.unlink(missing_ok=True)
+                files.delete(self.path(self.LOCK))
         raise RuntimeError("the lock cannot be taken")
 
     def release(self, token: str) -> None:
-        file = self.folder / ".run.lock.json"
-        if file.exists() and json.loads(file.read_text(encoding="utf-8")).get("token") == token:
-            file.unlink()
+        if self.has(self.LOCK) and self.read_json(self.LOCK).get("token") == token:
+            files.delete(self.path(self.LOCK))
+
+
+def _numbers(folder: str, stem: str) -> dict[int, str]:
+    return {int(m[1]): n for n in files.names(folder) if (m := re.match(rf"{re.escape(stem)}_run_(\d{{3,}})", n))}
 
 
-def next_version(folder: Path, stem: str, suffix: str = "") -> Path:
+def next_version(folder: str, stem: str, suffix: str = "") -> str:
     """stem_run_001, 002, ... : the first number above those present."""
-    taken = [int(m[1]) for f in folder.glob(f"{stem}_run_*") if (m := re.search(r"_run_(\d{3,})", f.name))]
-    return folder / f"{stem}_run_{max(taken, default=0) + 1:03d}{suffix}"
+    return f"{folder}/{stem}_run_{max(_numbers(folder, stem), default=0) + 1:03d}{suffix}"
 
 
-def latest_version(folder: Path, stem: str) -> Path | None:
-    found = sorted(folder.glob(f"{stem}_run_*"), key=lambda f: int(re.search(r"_run_(\d{3,})", f.name)[1]))
-    return found[-1] if found else None
+def latest_version(folder: str, stem: str) -> str | None:
+    found = {n: name for n, name in _numbers(folder, stem).items()}
+    return f"{folder}/{stem}_run_{max(found):03d}" if found else None

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
-from pathlib import Path
+import json
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import inline_fields, label_of, normalize
@@ -16,14 +17,22 @@ from ..operators import labels as L
 from ..operators import models as Y
 from ..operators import phrases as P
 from ..operators import review as R
-from ..operators.decide import basis, decide, override_with_labels
+from ..operators.decide import basis, decide, override_with_labels, seed_decision
+from ..sources import files
 from ..sources.delimited import phrases, read_delimited
-from ..sources.workbooks import read_workbook, result_sheets, write_workbook
+from ..sources.workbooks import SHEET_ROWS, find_sheet, read_workbook, result_sheets, write_workbook
 from .next_action import Facts, next_action
-from .state import Job, check_config, latest_version, next_version, settings_of
+from .state import Job, check_config, latest_version, next_version, now, settings_of
 
 KNOWLEDGE = "topic_key string, phrase_key string, phrase string, label string, confidence double, verification string, source_job string, seq bigint"
 
+#: Labels that a page's ranking needs, lists of prototypes and what they are examples of.
+LEAST_FOR_PAGES = 20
+RELEVANCE_LISTS = {"relevant_prototypes": "relevant", "garbage_prototypes": "garbage"}
+INTENT_LISTS = {"commercial_prototypes": "commercial", "implicit_commercial_prototypes": "commercial", "informational_prototypes": "informational"}
+#: Rows up to which a result also comes as a workbook.
+WORKBOOK_ROWS = 2_000_000
+
 
 class Workflow:
     """Commands of one job. Tables are Parquet in the job's folder; a step that changes one writes a new one and swaps it in."""
@@ -37,13 +46,13 @@ class Workflow:
     def save(self, df: DataFrame, name: str) -> None:
         beside = self.job.path(f".{name}.new")
         df.write.mode("overwrite").parquet(beside)
-        shutil.rmtree(self.job.path(name), ignore_errors=True)
-        shutil.move(beside, self.job.path(name))
+        files.move(beside, self.job.path(name))
 
     # -- preparation ---------------------------------------------------------------------------------------------------
 
     def prepare(self, source: str, sample: int = 800, phrase: str | None = None, volume: str | None = None, prior: int = 150) -> dict:
-        raw = read_workbook(self.spark, source) if source.lower().endswith(".xlsx") else read_delimited(self.spark, source)
+        source = files.resolve_input(source)
+        raw = read_workbook(self.spark, source, find_sheet(self.spark, source, phrase)) if source.lower().endswith(".xlsx") else read_delimited(self.spark, source)
         self.save(P.phrase_table(phrases(raw, phrase, volume)), "phrases")
         table = self.table("phrases")
         n = table.count()
@@ -60,13 +69,15 @@ class Workflow:
             F.format_string("row-%06d", "source_row").alias("sample_id"), "source_row", "phrase", "normalized", "occurrences", "search_volume", "coverage_family",
             F.lit("").alias("model_label"), F.lit(None).cast("double").alias("model_confidence"), F.lit("").alias("model_notes"), source_name.alias("knowledge_source"))
         topic = self.job.config()["topic"].get("key", "topic")
-        if self.knowledge and Path(self.knowledge).exists() and n > 500:
+        if self.knowledge and files.exists(self.knowledge) and n > 500:
             known = L.balanced(self.spark.read.parquet(self.knowledge), topic, min(prior, max(1, sample // 3)))
             keys = known.select(F.col("phrase_key").alias("normalized"), F.col("label").alias("_l"), F.col("confidence").alias("_c"), F.col("verification").alias("_v"))
             sheet = sheet.join(keys, "normalized", "left").withColumns({"model_label": F.coalesce("_l", "model_label"), "model_confidence": F.coalesce("_c", "model_confidence"), "knowledge_source": F.coalesce("_v", "knowledge_source")}).drop("_l", "_c", "_v")
         self.save(sheet, "sheet")
         self.job.update("initial_labeling", source=source, source_rows=int(rows), unique_phrases=n)
-        return {"phrases": n, "families": selected.count(), "sample": self.table("sheet").count()}
+        found = {"phrases": n, "families": selected.count(), "sample": self.table("sheet").count()}
+        self.job.write_json("inspection.json", found | {"source": source, "columns": raw.columns, "source_rows": int(rows), "topic": topic})
+        return found
 
     # -- status --------------------------------------------------------------------------------------------------------
 
@@ -101,7 +112,23 @@ class Workflow:
     def apply_labels(self, inline: str) -> dict:
         """'id|label|confidence; ...' into the sheet; returns how many entries were valid."""
         rows = self.spark.range(1).select(F.explode(inline_fields(F.lit(inline), 3)).alias("e"))
-        valid = rows.select(F.col("e")[0].alias("sample_id"), label_of(F.col("e")[1]).alias("label"), F.col("e")[2].try_cast("double").alias("confidence"), F.lit(None).cast("string").alias("notes")).where("label is not null and confidence between 0 and 1")
+        return self._apply_labels(rows.select(F.col("e")[0].alias("sample_id"), F.col("e")[1].alias("label"), F.col("e")[2].alias("confidence"), F.lit(None).cast("string").alias("notes")))
+
+    def apply_label_file(self, path: str) -> dict:
+        """Labels of a JSON file: a list, or an object with the list as labels or rows, of objects with sample_id or id, label, confidence, notes."""
+        try:
+            content = json.loads(files.read_text(path))
+        except ValueError as error:
+            raise ValueError(f"{path} holds no labels: {error}") from None
+        entries = next((content[k] for k in ("labels", "rows") if k in content), None) if isinstance(content, dict) else content
+        if not isinstance(entries, list) or not all(isinstance(e, dict) for e in entries):
+            raise ValueError(f"{path} must hold a list of labels")
+        text = lambda x: None if x is None else str(x)
+        rows = [(text(e.get("sample_id", e.get("id"))), text(e.get("label")), text(e.get("confidence")), text(e.get("notes"))) for e in entries]
+        return self._apply_labels(self.spark.createDataFrame(rows, "sample_id string, label string, confidence string, notes string"))
+
+    def _apply_labels(self, given: DataFrame) -> dict:
+        valid = given.withColumns({"label": label_of("label"), "confidence": F.col("confidence").try_cast("double")}).where("label is not null and confidence between 0 and 1")
         before = self.facts()
         updates = valid.groupBy("sample_id").agg(F.last("label").alias("label"), F.last("confidence").alias("confidence"), F.last("notes").alias("notes"))
         self.save(L.apply_labels(self.table("sheet"), updates), "sheet")
@@ -164,7 +191,10 @@ class Workflow:
     def _scored_page(self, kind: str, limit: int) -> DataFrame:
         rows = X.hashed_grams(L.with_label(self.table("sheet")), "normalized")
         labelled, open_rows = Y.with_weight(rows.where("label is not null")), rows.where("label is null")
-        relevance, intent = Y.fit_two_stage(labelled)
+        if not Y.enough_labels(Y.label_counts(labelled), LEAST_FOR_PAGES):
+            # Too few labels to rank by: the rows of most volume come first.
+            return L.sample_page(self.table("sheet"), 0, limit).select("sample_id", "phrase", "search_volume")
+        relevance, intent = Y.fit_two_stage(labelled, least=LEAST_FOR_PAGES)
         scored = Y.probability(open_rows, intent, "c").withColumn("i", 1.0 - F.col("c"))
         scored = Y.probability(scored, relevance, "pg") if relevance else scored.withColumn("pg", F.lit(0.0))
         if kind == "intent":
@@ -177,8 +207,7 @@ class Workflow:
         both = grams(rows)
         mine = lambda df, name: both.join(df.select("sample_id"), "sample_id").withColumnRenamed("sample_id", name)
         if kind == "active":
-            known = labelled.where("label <> 'garbage'")
-            clash = X.neighbour_conflict(mine(open_rows, "key"), mine(known, "other"), known.select(F.col("sample_id").alias("other"), "label"))
+            clash = X.neighbour_conflict(mine(open_rows, "key"), mine(labelled, "other"), labelled.select(F.col("sample_id").alias("other"), "label"))
             p = F.array("pg", (1.0 - F.col("pg")) * F.col("c"), (1.0 - F.col("pg")) * F.col("i"))
             ready = scored.withColumn("p", p).join(clash.withColumnRenamed("key", "sample_id"), "sample_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
             return R.active_rank(ready, limit).select("sample_id", "phrase", "conflict", "margin")
@@ -190,8 +219,8 @@ class Workflow:
     # -- run -------------------------------------------------------------------------------------------------------------------------
 
     def run(self, output: str | None = None) -> dict:
-        """Fits, calibrates, decides, clusters and audits all phrases; one path for every size."""
-        if errors := self.facts().errors:
+        """Fits, calibrates, decides, clusters and audits all phrases; one path for every size. Without enough labels, configured seeds decide."""
+        if (errors := self.facts().errors) and not self._seeds():
             raise ValueError("the labels are not ready: " + "; ".join(errors[:5]))
         token = self.job.acquire()
         try:
@@ -203,17 +232,9 @@ class Workflow:
             self.job.release(token)
 
     def _run(self, output: str | None) -> dict:
-        config, sheet = self.job.config(), self.table("sheet")
-        labels = L.last_wins(sheet)
-        training = X.hashed_grams(Y.with_weight(labels), "normalized").persist()
-        relevance, intent = Y.fit_two_stage(training)
-        if relevance:
-            limits = Y.calibrate(Y.out_of_fold(training, "normalized")).first()
-            config.setdefault("relevance", {})["garbage_threshold"] = limits["garbage_threshold"]
-        vectors = X.hashed_grams(self.table("phrases"), "normalized")
-        scored = Y.probability(vectors, intent, "c").withColumn("i", 1.0 - F.col("c"))
-        scored = Y.probability(scored, relevance, "pg") if relevance else scored.withColumn("pg", F.lit(0.0))
-        decided = basis(override_with_labels(decide(scored, settings_of(config), prototypes=False), labels))
+        config, labels = self.job.config(), L.last_wins(self.table("sheet"))
+        enough = Y.enough_labels(Y.label_counts(labels))
+        decided = self._decided_by_models(config, labels) if enough else self._decided_by_seeds(config, labels)
         self.save(decided.withColumn("part", F.pmod(F.xxhash64("normalized"), F.lit(64))), "scored")
         decided, parts = self.table("scored"), []
         for label in ("commercial", "informational", "garbage"):
@@ -234,6 +255,60 @@ class Workflow:
         self.job.update("cluster_relevance_review", cluster_decisions={})
         return self.export(output)
 
+    def _decided_by_models(self, config: dict, labels: DataFrame) -> DataFrame:
+        """All phrases decided by models of the labels and the prototypes; the garbage threshold that was found goes into config."""
+        relevance_policy, intent_policy = (config.get(k) or {} for k in ("relevance", "intent_policy"))
+        lists = {k: [v for v in (relevance_policy if k in RELEVANCE_LISTS else intent_policy).get(k, ()) if v.strip()] for k in (*RELEVANCE_LISTS, *INTENT_LISTS)}
+        weight = {"relevance": float(relevance_policy.get("synthetic_weight", 1.0)), "intent": float(intent_policy.get("synthetic_weight", 0.75))}
+        examples = [(v, label, stage, weight[stage]) for stage, names in (("relevance", RELEVANCE_LISTS), ("intent", INTENT_LISTS)) for k, label in names.items() for v in lists[k]]
+        prototypes = self.spark.createDataFrame(examples, "phrase string, label string, stage string, weight double").withColumn("normalized", normalize("phrase")).where("normalized <> ''")
+        structure = X.structural(labels.select("normalized").unionByName(prototypes.select("normalized")), "normalized")
+        weights = {"relevance_features": float(relevance_policy.get("tfidf_weight", X.RELEVANCE_WEIGHT)), "intent_features": float(intent_policy.get("tfidf_weight", X.INTENT_WEIGHT))}
+        features = lambda df: X.with_structure(X.hashed_grams(df, "normalized"), structure, "normalized", weights)
+        training = features(Y.with_weight(labels)).persist()
+        try:
+            relevance, intent = Y.fit_two_stage(training, *weights, features(prototypes) if examples else None)
+            if relevance:
+                limits = Y.calibrate(Y.out_of_fold(training, "normalized", vec="relevance_features")).first()
+                config.setdefault("relevance", {})["garbage_threshold"] = limits["garbage_threshold"]
+        finally:
+            training.unpersist()
+        scored = Y.probability(features(self.table("phrases")), intent, "c", "intent_features").withColumn("i", 1.0 - F.col("c"))
+        scored = Y.probability(scored, relevance, "pg", "relevance_features") if relevance else scored.withColumn("pg", F.lit(0.0))
+        sides = {"cs": lists["commercial_prototypes"] + lists["implicit_commercial_prototypes"], "is_": lists["informational_prototypes"]}
+        both = all(sides.values())
+        if both:
+            scored = scored.withColumns({name: C.best_similarity("vec", self._vectors(texts)) for name, texts in sides.items()})
+        return basis(override_with_labels(decide(scored.drop(*weights), settings_of(config), prototypes=both), labels))
+
+    def _vectors(self, texts: list[str]) -> np.ndarray:
+        """Vectors of a short configured list."""
+        rows = self.spark.createDataFrame([(t,) for t in texts], "phrase string").select(normalize("phrase").alias("normalized")).collect()
+        return X.HashedGrams().encode([r["normalized"] for r in rows])
+
+    def _seeds(self) -> dict[str, list[str]]:
+        """Seeds of both intents and of the topic; nothing where an intent or the topic has none."""
+        config = self.job.config()
+        topic, intent = config.get("topic") or {}, config.get("intent") or {}
+        seeds = {"relevant": topic.get("relevant_seeds"), "garbage": topic.get("garbage_seeds"), "commercial": intent.get("commercial_seeds"), "informational": intent.get("informational_seeds")}
+        seeds = {k: [v for v in x or () if v.strip()] for k, x in seeds.items()}
+        return seeds if all(seeds[k] for k in ("relevant", "commercial", "informational")) else {}
+
+    def _decided_by_seeds(self, config: dict, labels: DataFrame) -> DataFrame:
+        """All phrases decided by their similarity to seeds. The intent that was chosen has the confidence as its probability, the others share the rest."""
+        topic, settings = config.get("topic") or {}, settings_of(config)
+        vectors = X.hashed_grams(self.table("phrases"), "normalized")
+        similar = vectors.withColumns({name: C.best_similarity("vec", self._vectors(texts) if texts else []) for name, texts in self._seeds().items()})
+        chosen = seed_decision(similar, settings, tuple(topic.get("positive_markers", ())), tuple(topic.get("garbage_markers", ())))
+        chosen = chosen.select(*vectors.columns, *(F.col(x).alias(f"seed_{x}") for x in ("intent", "basis", "confidence")))
+        p = lambda label: F.when(F.col("seed_intent") == label, F.col("seed_confidence")).otherwise((1.0 - F.col("seed_confidence")) / 2)
+        # The evidence flags are those of any decision; what it would decide by scores gives way.
+        flagged = decide(chosen.withColumns({"pg": F.lit(0.0), "c": F.lit(0.5), "i": F.lit(0.5)}), settings, prototypes=False)
+        taken = {"intent": F.col("seed_intent"), "pre_family_intent": F.col("seed_intent"), "confidence": F.col("seed_confidence"), "quarantined": (F.col("seed_intent") != "garbage") & (F.col("seed_confidence") < 0.55), "family_override": F.lit(False), "family_conflict": F.lit(False)}
+        decided = override_with_labels(flagged.withColumns(taken | {f"p_{x}": p(x) for x in ("commercial", "informational", "garbage")}), labels)
+        why: Column = F.when(F.col("exact_label"), "Reviewed label").otherwise(F.col("seed_basis"))
+        return decided.withColumn("decision_basis", why).drop("seed_intent", "seed_basis", "seed_confidence")
+
     def apply_cluster_labels(self, inline: str) -> dict:
         pairs = dict((p.split("|")[0].strip(), p.split("|")[1].strip()) for p in inline.split(";") if p.count("|") == 1)
         known = self.job.state().get("cluster_decisions", {}) | {k: v for k, v in pairs.items() if v in ("relevant", "garbage", "mixed")}
@@ -253,7 +328,7 @@ class Workflow:
         learned = self._outliers(near, Y.outlier_training_set(self.table("audit"), decisions, self.table("audit").join(F.broadcast(labels), "review_id")))
         final = C.apply_decisions(decided, decisions, exact, learned)
         self.save(final, "final")
-        self.save(R.post_audit(R.mixed_review(decided, decisions), R.human_review(decided, 0.45).join(decided.select("normalized", "cluster"), "normalized"), decisions, final.where("final_basis like 'Outlier%'").select("normalized").distinct()), "post_review")
+        self.save(R.post_audit(R.mixed_review(decided, decisions), R.human_review(decided, settings_of(self.job.config()).garbage_threshold).join(decided.select("normalized", "cluster"), "normalized"), decisions, final.where("final_basis like 'Outlier%'").select("normalized").distinct()), "post_review")
         self.job.update("quality_review")
         return self.export(output)
 
@@ -283,32 +358,52 @@ class Workflow:
         return self.table("final").withColumns({"intent": F.col("final_intent")})
 
     def export(self, output: str | None = None, workbook: bool = True) -> dict:
-        """Parquet by intent, files of a sheet's size at most, and a workbook for people; returns rows by intent."""
-        rows = self.result()
-        target = Path(output) if output else next_version(self.job.folder, "result")
-        rows.write.mode("overwrite").option("maxRecordsPerFile", 1_048_575).partitionBy("intent").parquet(str(target))
+        """Parquet by intent, files of a sheet's size at most, small CSV tables, a manifest, and a workbook for people; returns rows by intent.
+
+        The driver writes the workbook row by row, so that there is one for WORKBOOK_ROWS at most; beyond that the Parquet files are the result,
+        and the manifest says so.
+        """
+        rows, config = self.result(), self.job.config()
+        settings = settings_of(config)
+        target = str(output) if output else next_version(self.job.folder, "result")
+        rows.write.mode("overwrite").option("maxRecordsPerFile", SHEET_ROWS).partitionBy("intent").parquet(target)
         counts = {r["intent"]: r["n"] for r in rows.groupBy("intent").agg(F.count("*").alias("n")).collect()}
-        if workbook:
-            config = self.job.config()
-            metadata = [("Workflow Job ID", config.get("workflow_job_id", "")), ("Job", self.job.folder.name), ("Topic", str(config.get("topic", {}).get("description", ""))), ("Input file", str(self.job.state().get("source", ""))), ("Processing mode", "spark")]
-            write_workbook(str(target) + ".xlsx", result_sheets(rows, R.human_review(self.table("decided"), settings_of(config).garbage_threshold), C.summary(rows), metadata))
-        self.job.update(last_run=str(target))
-        return {"output": str(target), "rows": counts}
+        review, summary = R.human_review(self.table("decided"), settings.garbage_threshold), C.summary(rows)
+        tables = {"uncertain_review": review, "cluster_summary": summary} | ({"intent_family_audit": self.table("family_audit")} if self.job.has("family_audit") else {})
+        for name, table in tables.items():
+            self._csv(table, f"{target}_tables/{name}.csv")
+        book = f"{target}.xlsx" if workbook and sum(counts.values()) <= WORKBOOK_ROWS else None
+        if book:
+            metadata = [("Workflow Job ID", config.get("workflow_job_id", "")), ("Job", self.job.name), ("Topic", str(config.get("topic", {}).get("description", ""))), ("Input file", str(self.job.state().get("source", ""))), ("Processing mode", "spark")]
+            with tempfile.TemporaryDirectory() as own:
+                # A workbook is written by the driver alone, and copied to where the result is.
+                write_workbook(f"{own}/book.xlsx", result_sheets(rows, review, summary, metadata))
+                files.copy(f"file://{own}/book.xlsx", book)
+        manifest = {"status": "completed", "workflow_job_id": config.get("workflow_job_id"), "input": self.job.state().get("source"), "source_rows": self.job.state().get("source_rows"), "output": target, "workbook": book, "tables": {n: f"{target}_tables/{n}.csv" for n in tables}, "intent_counts": counts, "garbage_threshold": settings.garbage_threshold, "quarantine_threshold": settings.quarantine_threshold, "cluster_decisions": len(self.job.state().get("cluster_decisions", {})), "written_at": now()}
+        self.job.write_json("manifest.json", manifest)
+        self.job.update(last_run=target)
+        return {"output": target, "rows": counts, "workbook": book}
+
+    def _csv(self, df: DataFrame, path: str) -> None:
+        """One CSV file of a table of bounded size, in a folder; it begins with the mark by which spreadsheets know UTF-8."""
+        plain = df.select([F.col(f.name).cast("string").alias(f.name) for f in df.schema.fields])
+        marked = plain.withColumnRenamed(plain.columns[0], "\ufeff" + plain.columns[0])
+        marked.coalesce(1).write.mode("overwrite").options(header="true", quote='"', escape='"').csv(path)
 
     def finalize(self, source: str | None = None) -> dict:
         """Copies the last run, whose tables must exist, to <job>_FINAL."""
-        last = Path(source) if source else latest_version(self.job.folder, "result")
-        if last and last.suffix == ".xlsx":
-            last = last.with_suffix("")
-        if not last or not last.exists():
+        last = str(source).removesuffix(".xlsx") if source else latest_version(self.job.folder, "result")
+        if not last or not files.exists(last):
             raise FileNotFoundError("there is no run to finalize")
-        target = self.job.folder / f"{self.job.folder.name}_FINAL"
-        beside = target.with_name(f".{target.name}.new")
-        shutil.copytree(last, beside, dirs_exist_ok=True)
-        shutil.rmtree(target, ignore_errors=True)
-        shutil.move(beside, target)
-        self.job.update("finalized", final=str(target))
-        return {"final": str(target)}
+        if missing := [x for x in ("intent=commercial", "intent=informational") if x not in files.names(last)]:
+            raise ValueError(f"the run lacks {missing}")
+        target = self.job.path(f"{self.job.name}_FINAL")
+        beside = self.job.path(f".{self.job.name}_FINAL.new")
+        files.delete(beside)
+        files.copy(last, beside)
+        files.move(beside, target)
+        self.job.update("finalized", final=target)
+        return {"final": target}
 
     # -- feedback and knowledge ------------------------------------------------------------------------------------------------------
 
@@ -322,18 +417,20 @@ class Workflow:
         new = L.import_feedback(self.table("sheet"), review).where("turn = 1").select(normalize("phrase").alias("normalized"), F.col("model_label").alias("_l"))
         sheet = self.table("sheet").join(new.dropDuplicates(["normalized"]), "normalized", "left")
         self.save(sheet.withColumns({"model_label": F.coalesce("_l", "model_label"), "model_confidence": F.when(F.col("_l").isNotNull(), 1.0).otherwise(F.col("model_confidence"))}).drop("_l"), "sheet")
-        self.save(valid.select("phrase", "label"), "corrections")
+        self.save(valid.select("phrase", "label", "source_row"), "corrections")
         return {"corrections": valid.count()}
 
     def learn(self) -> dict:
         """Labels and corrections into the knowledge store."""
         topic = self.job.config()["topic"].get("key", "topic")
-        old = self.spark.read.parquet(self.knowledge) if self.knowledge and Path(self.knowledge).exists() else self.spark.createDataFrame([], KNOWLEDGE)
+        old = self.spark.read.parquet(self.knowledge) if self.knowledge and files.exists(self.knowledge) else self.spark.createDataFrame([], KNOWLEDGE)
         seq = old.agg(F.max("seq")).first()[0] or 0
         rows = L.last_wins(self.table("sheet")).select("normalized", "phrase", "label", F.lit(0.8).alias("confidence"), F.lit("model_reviewed").alias("verification"), "source_row")
         if self.job.has("corrections"):
-            rows = rows.unionByName(self.table("corrections").select(normalize("phrase").alias("normalized"), "phrase", "label", F.lit(1.0).alias("confidence"), F.lit("review_corrected").alias("verification"), F.lit(1 << 60).alias("source_row")))
-        new = rows.select(F.lit(topic).alias("topic_key"), F.col("normalized").alias("phrase_key"), "phrase", "label", "confidence", "verification", F.lit(self.job.folder.name).alias("source_job"), (F.col("source_row") + seq + 1).alias("seq"))
+            # Corrections come after the sheet, in their own order.
+            after = (rows.agg(F.max("source_row")).first()[0] or 0) + 1
+            rows = rows.unionByName(self.table("corrections").select(normalize("phrase").alias("normalized"), "phrase", "label", F.lit(1.0).alias("confidence"), F.lit("review_corrected").alias("verification"), (F.col("source_row") + after).alias("source_row")))
+        new = rows.select(F.lit(topic).alias("topic_key"), F.col("normalized").alias("phrase_key"), "phrase", "label", "confidence", "verification", F.lit(self.job.name).alias("source_job"), (F.col("source_row") + seq + 1).alias("seq"))
         self._swap_knowledge(L.upsert(old, new))
         self.job.update("knowledge_saved", knowledge_topic_key=topic)
         return {"examples": self.spark.read.parquet(self.knowledge).count()}
@@ -347,8 +444,7 @@ class Workflow:
     def _swap_knowledge(self, df: DataFrame) -> None:
         beside = f"{self.knowledge}.new"
         df.write.mode("overwrite").parquet(beside)
-        shutil.rmtree(self.knowledge, ignore_errors=True)
-        shutil.move(beside, self.knowledge)
+        files.move(beside, self.knowledge)
 
     def knowledge_summary(self) -> list[dict]:
         return [r.asDict() for r in L.knowledge_status(self.spark.read.parquet(self.knowledge)).orderBy("topic_key", "label", "verification").collect()]
@@ -357,6 +453,6 @@ class Workflow:
         """Removes tables that can be made again."""
         gone = [n for n in ("scored", "clustered", "pool") if self.job.has(n)]
         for n in gone:
-            shutil.rmtree(self.job.path(n))
+            files.delete(self.job.path(n))
         return {"removed": gone}
 

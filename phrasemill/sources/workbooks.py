@@ -60,6 +60,28 @@ def rows_of(content: bytes, sheet: str | None = None) -> Iterator[list[str | Non
                 row.clear()
 
 
+def find_sheet(spark: SparkSession, path: str, phrase: str | None = None) -> str:
+    """The first sheet whose header has the phrase column, the one asked for or a known one; ValueError with the sheets there are where none has."""
+    from .delimited import PHRASE_HEADERS, header_key
+
+    wanted = {header_key(phrase)} if phrase else set(PHRASE_HEADERS)
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_py()
+                with zipfile.ZipFile(io.BytesIO(data)) as book:
+                    names = list(sheet_names(book))
+                headers = [[h or "" for h in next(rows_of(data, n), [])] for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(headers, pa.list_(pa.string()))], ["name", "header"])
+
+    sheets = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, header array<string>").collect()
+    for s in sheets:
+        if wanted & set(map(header_key, s["header"])):
+            return s["name"]
+    raise ValueError(f"no sheet has the phrase column; there are {[s['name'] for s in sheets]}")
+
+
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """The sheet's columns as strings, named by its first row, and source_row. A workbook is one file of bounded size, read in one task."""
     files = spark.read.format("binaryFile").load(path)
