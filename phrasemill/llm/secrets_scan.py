@@ -1,9 +1,9 @@
 """Secret scans with multipart credential linking (operator 4).
 
 Base kinds stand alone: `assign`, `access`, `hex`. Parts of a credential are weak by themselves: an access identifier
-(any AKIA run), a bare secret of 40 base64 characters, an endpoint (a URL or host with port). An interval join within each
-text links parts whose distance is at most `scope` characters, and a weak part is reported only where a complementary
-one is in its scope: `key_id` with a secret, `key_secret` with an identifier, `endpoint` with an identifier or a secret.
+(any AKIA run), a bare secret of 40 base64 characters, an endpoint (a URL of any scheme or a host with port). An interval join within each
+text links parts in one scope: at most `scope` characters apart, or at most BLOCK apart within one block of the text, that is without a blank
+line between them, as in a configuration section or a key file. A weak part is reported only where a complementary one is in its scope: `key_id` with a secret, `key_secret` with an identifier, `endpoint` with an identifier or a secret.
 
 Results: null and empty texts have no spans; spans are code points, end exclusive, of the whole match; repeated
 matches are each reported; texts of any length are scanned whole, and the links need O(n log n) of their parts.
@@ -13,7 +13,7 @@ Only the id and text columns are read.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +25,14 @@ ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])")
-ENDPOINT = re.compile(r"https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}|\b(?:[a-z0-9-]{1,63}\.){1,9}[a-z]{2,24}:[0-9]{2,5}\b")
+ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}|\b(?:[a-z0-9-]{1,63}\.){1,9}[a-z]{2,24}:[0-9]{2,5}\b")
 #: Spans are listed by start, then in this order.
 KINDS = ("assign", "access", "hex", "key_id", "key_secret", "endpoint")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 SCOPE = 200
+#: Characters that parts of one block are apart at most.
+BLOCK = 2000
+BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -40,17 +43,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def within(parts: list[tuple[int, int]], others: list[tuple[int, int]], scope: int) -> list[bool]:
-    """For each part, whether one of the others begins or ends within `scope` characters of it, without overlap."""
+def within(parts: list[tuple[int, int]], others: list[tuple[int, int]], scope: int, blanks: list[int] = ()) -> list[bool]:
+    """For each part, whether the next one of the others, before or after it and without overlap, is in its scope. blanks: where blank lines begin, in order."""
     starts = sorted(s for s, _ in others)
     ends = sorted(e for _, e in others)
 
+    def linked(gap_start: int, gap_end: int) -> bool:
+        if gap_end - gap_start <= scope:
+            return True
+        k = bisect_left(blanks, gap_start)
+        return gap_end - gap_start <= BLOCK and (k == len(blanks) or blanks[k] >= gap_end)
+
     def near(s: int, e: int) -> bool:
         i = bisect_left(starts, e)
-        if i < len(starts) and starts[i] <= e + scope:
+        if i < len(starts) and linked(e, starts[i]):
             return True
-        i = bisect_left(ends, s - scope)
-        return i < len(ends) and ends[i] <= s
+        i = bisect_right(ends, s) - 1
+        return i >= 0 and linked(ends[i], s)
 
     return [near(s, e) for s, e in parts]
 
@@ -62,9 +71,10 @@ def linked_spans(text: str, scope: int = SCOPE) -> list[tuple[int, int, str]]:
     if not keys and not secrets:
         return []
     ends = [m.span() for m in ENDPOINT.finditer(text)]
-    out = [(*p, "key_id") for p, ok in zip(keys, within(keys, secrets, scope), strict=True) if ok]
-    out += [(*p, "key_secret") for p, ok in zip(secrets, within(secrets, keys, scope), strict=True) if ok]
-    out += [(*p, "endpoint") for p, ok in zip(ends, within(ends, keys + secrets, scope), strict=True) if ok]
+    blanks = [m.start() for m in BLANK.finditer(text)]
+    out = [(*p, "key_id") for p, ok in zip(keys, within(keys, secrets, scope, blanks), strict=True) if ok]
+    out += [(*p, "key_secret") for p, ok in zip(secrets, within(secrets, keys, scope, blanks), strict=True) if ok]
+    out += [(*p, "endpoint") for p, ok in zip(ends, within(ends, keys + secrets, scope, blanks), strict=True) if ok]
     return out
 
 
