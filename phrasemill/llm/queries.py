@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, langid, ngram_lm, packing, secrets_scan, simhash, token_count, token_records, vector_dedup
 from .chunks import ranges
-from .common import crc_mod, spread
+from .common import crc_mod, materialize, spread
 
 #: Sequence lengths that packing may use, in tokens.
 SEQUENCE_SIZES = (2048, 4096, 8192, 16384, 32768)
@@ -102,7 +102,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_documents(docs: DataFrame, keep: bool = True) -> DataFrame:
     """Every document as its tokens and one end token, packed into sequences. `keep`: see bpe.count_tokens."""
     counts = bpe.count_tokens(docs, byte_vocabulary(), keep=keep)
-    return packing.pack(counts.select("doc_id", (F.col("n_tokens") + 1).alias("length")), SEQUENCE_SIZES)
+    # Written in between: two Python operators in one plan would keep two workers a core, with their memory.
+    lengths = materialize(counts.select("doc_id", (F.col("n_tokens") + 1).alias("length")), "lengths")
+    return packing.pack(lengths, SEQUENCE_SIZES)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
