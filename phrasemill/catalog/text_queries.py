@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import phrases as P
+from ..sources.written import written
 from . import query
 from .inputs import DECIDED, LABELLED, PHRASES_DOC, PHRASES_PART, SHEET, alias, decided, h32, labelled, norm, phrases_doc, phrases_part, r, sheet
 
@@ -162,7 +163,8 @@ def top_volume(spark, sf):
 
 @query()
 def representative_sample(spark, sf):
-    return P.representative_sample(P.phrase_table(phrases_doc(spark, sf).withColumn("search_volume", F.lit(1.0))), 800).select("normalized", "reason", "source_row")
+    phrases = written(P.phrase_table(phrases_doc(spark, sf).withColumn("search_volume", F.lit(1.0))), "phrases")
+    return P.representative_sample(phrases, 800).select("normalized", "reason", "source_row")
 
 
 @query(f"SELECT label, count(*) AS n FROM {LABELLED} GROUP BY label")
