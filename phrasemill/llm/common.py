@@ -37,13 +37,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a written intermediate that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
     """A small table in fewer files than there are cores, dealt evenly: a file with one row group would be one task. Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
