@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.catalog import family_queries, load, model_queries
 from phrasemill.functions.families import DISCOVERY, DOCUMENTS
+from phrasemill.functions.text import hash32
 from phrasemill.operators import clusters as C
 from phrasemill.operators import features as X
 from phrasemill.operators import models as M
@@ -174,3 +175,22 @@ def test_probabilities_minimise_the_penalised_loss(spark, sf, name, stage, colum
     want = {r["normalized"]: 1 / (1 + np.exp(-(np.array(r["vec"], np.float64) @ beta + bias))) for r in rows}
     got = {r["normalized"]: r[column] for r in QUERIES[name](spark, sf).collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
+def test_out_of_fold_rows_are_scored_by_models_of_other_folds(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"p{i}", ("garbage", "commercial", "informational")[i % 3], 1.0, (rng.normal(0, 1, 4) + (i % 3 == 0)).tolist()) for i in range(63)]
+    df = spark.createDataFrame(rows, "normalized string, label string, weight double, vec array<double>").persist()
+    got = {r["normalized"]: r["pg"] for r in M.out_of_fold(df, "normalized").collect()}
+    order = {r["normalized"]: r["h"] for r in df.select("normalized", hash32("normalized").alias("h")).collect()}
+    fold = {}
+    for label in ("garbage", "commercial", "informational"):
+        for place, key in enumerate(sorted((r[0] for r in rows if r[1] == label), key=lambda k: (order[k], k)), 1):
+            fold[key] = place % 5
+    assert set(got) == set(fold)
+    for k in range(5):
+        model = M.fit_relevance(df.where(~F.col("normalized").isin([x for x, f in fold.items() if f == k])))
+        for key, _, _, vec in rows:
+            if fold[key] == k:
+                assert got[key] == pytest.approx(1 / (1 + np.exp(-(np.dot(vec, model.coefficients.toArray()) + model.intercept))), abs=1e-4)
+    df.unpersist()
