@@ -66,7 +66,11 @@ def large_review_queue(spark, sf):
 
 def decisions(spark, sf):
     """A decision for some of the clusters."""
-    pairs = decided(spark, sf).where("intent <> 'garbage'").select("intent", "cluster").distinct()
+    return decisions_of(decided(spark, sf, "intent", "cluster"))
+
+
+def decisions_of(rows):
+    pairs = rows.where("intent <> 'garbage'").select("intent", "cluster").distinct()
     h = F.conv(F.substring(F.md5(F.concat("intent", "cluster")), 1, 8), 16, 10).cast("bigint") % 4
     return pairs.withColumn("decision", F.when(h == 0, "garbage").when(h == 1, "mixed").when(h == 2, "relevant")).where("decision is not null")
 
@@ -88,7 +92,9 @@ def mixed_review(spark, sf):
         WHERE coalesce(c.decision, 'relevant') = 'relevant' AND p.normalized NOT IN (SELECT normalized FROM outliers))
     SELECT normalized, turn, source_row FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY normalized ORDER BY turn, source_row) = 1) ORDER BY turn, source_row LIMIT 300""")
 def post_audit_review(spark, sf):
-    d, c = decided(spark, sf), decisions(spark, sf)
+    # Read four times.
+    d = written(decided(spark, sf, "normalized", "source_row", "intent", "cluster", "p_garbage", "confidence", "quarantined"), "decided")
+    c = decisions_of(d)
     outliers = d.where(in_sample("normalized", 9)).select("normalized").distinct()
     return R.post_audit(R.mixed_review(d, c), d.where("quarantined"), c, outliers)
 
