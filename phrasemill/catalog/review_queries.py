@@ -161,7 +161,10 @@ _POL = f"(SELECT *, {unit('normalized', 'q')} AS q FROM {DECIDED})"
     SELECT source_row, predicted, reason FROM (SELECT * FROM w UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y) ORDER BY turn, k LIMIT 50""")
 def policy_conflict_review(spark, sf):
     q = unit_interval("normalized", "q")
-    rows = decided(spark, sf).withColumn("q", q).withColumns({"predicted": F.when(F.col("q") >= 0.5, "commercial").otherwise("informational"), "certainty": F.greatest("q", 1 - F.col("q")), "margin": F.abs(2 * F.col("q") - 1)})
+    flags = ("commercial_marker", "informational_marker", "commercial_family", "informational_family", "weak_question")
+    # Read three times.
+    rows = written(decided(spark, sf, "normalized", "source_row", *flags).withColumn("q", q).drop("normalized"), "decided")
+    rows = rows.withColumns({"predicted": F.when(F.col("q") >= 0.5, "commercial").otherwise("informational"), "certainty": F.greatest("q", 1 - F.col("q")), "margin": F.abs(2 * F.col("q") - 1)})
     return R.policy_conflicts(rows, 50).select("source_row", "predicted", "reason")
 
 
