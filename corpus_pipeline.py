@@ -36,8 +36,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays; a row without doc_id only where all lack one. Texts without words are alike."""
-    copies = simhash.similar_documents(docs, words=5, similarity=0.8)
+    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays; a row without doc_id only where all lack one. Texts without words are alike. SimHash proposes pairs, MinHash those beyond its radius, the shingles decide."""
+    copies = simhash.similar_documents(docs, words=5, similarity=0.8, radius=4)
     copies = copies.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_row"), F.col("text_hash").alias("_hash"))
     rows = docs.select(*(F.col(c).alias(f"_{c}") for c in docs.columns))
     rows = rows.withColumns({"_row": F.coalesce(F.col("_doc_id").cast("bigint"), F.lit(NO_ID)), "_hash": F.xxhash64("_text")})

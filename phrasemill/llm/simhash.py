@@ -8,8 +8,8 @@ everything that table t hashes: none is missed. A bucket of up to BUCKET nodes i
 meet through the words halfway between them (2 + 2 bits), a number of rows linear in the nodes, each meeting at most
 2,081 of them. Every task gives a spanning forest of its links, never all pairs.
 
-similar_documents() decides by the similarity of the texts' shingle sets instead, for which fingerprints are too coarse: bands of smallest
-shingle hashes (MinHash) propose pairs by that similarity alone, whatever the shape of an edit, sketches decide those
+similar_documents() decides by the similarity of the texts' shingle sets: near fingerprints propose pairs as above. Since most pairs at a
+similarity of 0.8 have fingerprints farther apart, bands of smallest shingle hashes (MinHash) propose the others by that similarity alone, whatever the shape of an edit, sketches decide those
 far from the similarity, and the sets themselves the others.
 
 Results: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle make one
@@ -239,8 +239,8 @@ def n_bands(similarity: float) -> int:
     return 1 if share >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-share)))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct shingle hashes in ascending order; fewer words than a shingle make one shingle, and so does no word."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Shingle hashes with repeats; fewer words than a shingle make one shingle, and so does no word."""
     parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(parts)
@@ -250,7 +250,32 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     n = len(parts) - words + 1
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order."""
+    return np.unique(shingle_hashes(text, words))
+
+
+#: The only shingle of a text without words, whose fingerprint is zero.
+NO_WORDS = xxhash.xxh64_intdigest(b"", SEED)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """simhash() of a text from its shingle hashes, as a signed number."""
+    if len(hashes) == 1 and int(hashes[0]) == NO_WORDS:
+        return 0
+    return int(np.packbits(bit_counts(hashes) * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs (x, y) of sets s whose fingerprints fp are within the radius: a spanning forest of them. prints: distinct (s, fp)."""
+    least = materialize(prints.groupBy("fp").agg(F.min("s").alias("y")), "print-nodes")
+    same = prints.join(least, "fp").where("s <> y").select(F.col("s").alias("x"), "y")
+    links = near_links(least.select("fp"), radius, pairs=True).select("a", "b")
+    ends = links.join(least.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(least.select(F.col("fp").alias("b"), "y"), "b")
+    return same.unionByName(ends.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))).distinct()
 
 
 def set_digest(hashes: np.ndarray) -> int:
@@ -421,11 +446,12 @@ class SetBlock:
         return out
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, component_id) of each document that is linked to one with a smaller id; the others are their own component.
 
-    Links are pairs whose sets of shingles have a similarity of `similarity` or more; an estimate decides only SURE deviations away. Equal sets are one node. A pair
-    of sets is looked at where they share a band: each with the band's first set, then all that verified links leave apart.
+    Links are pairs whose sets of shingles have a similarity of `similarity` or more; an estimate decides only SURE deviations away. Equal sets are one node. Pairs
+    of sets whose SimHash fingerprints are within the radius are proposed first. The others, which are most at a similarity of 0.8, are looked at where they share
+    a band: each with the band's first set, then all that verified links leave apart.
 
     text_hash is xxhash64 of the text: with it the result names rows also where documents share an id, and among those the one of smallest
     text_hash is the first. A null id counts as larger than any other, and is given as null. Null and empty texts are one empty set.
@@ -436,13 +462,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     def make():
         def work(keys, texts):
-            sets = [shingle_set(t, words) for t in texts]
+            every = [shingle_hashes(t, words) for t in texts]
+            prints, sets = list(map(fingerprint_of, every)), list(map(np.unique, every))
             bands = band_keys(np.array([least_hashes(h, factors, shifts) for h in sets]).reshape(-1, size))
             edges = np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1]
             fields = [keys.field(0), keys.field(1)]
             columns = [*fields, pa.array(list(map(set_digest, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64())]
-            columns += [pa.array(list(map(sketch, sets)), pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.reshape(-1)))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "s", "size", "sketch", "bands"])
+            columns += [pa.array(list(map(sketch, sets)), pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(bands.reshape(-1))), pa.array(prints, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "s", "size", "sketch", "bands", "fp"])
 
         return work
 
@@ -455,7 +482,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     text = F.col(text_col)
     given = docs.select(F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash")).alias("row"), text.alias("text"))
-    profiles = map_texts(given, "row", "text", "doc_id bigint, text_hash bigint, s bigint, size bigint, sketch binary, bands array<bigint>", make)
+    profiles = map_texts(given, "row", "text", "doc_id bigint, text_hash bigint, s bigint, size bigint, sketch binary, bands array<bigint>, fp bigint", make)
     # Rows are numbered as they are written, so that one row stands for a set also where rows repeat.
     profiles = materialize(profiles.withColumn("number", F.monotonically_increasing_id()), "profiles")
     row = F.struct("doc_id", "text_hash")
@@ -463,9 +490,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     keyed = profiles.select("s", "size", F.explode("bands").alias("key")).repartition("key")
     ends = keyed.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high")
     shared = materialize(keyed.join(ends, "key").select("key", "s", "size", "low").distinct(), "shared")
-    members = shared.select("s").distinct().join(nodes, "s").select("row.number")
+    close = materialize(fingerprint_pairs(profiles.select("s", "fp").distinct(), radius), "close-prints")
+    members = shared.select("s").unionByName(close.select(F.col("x").alias("s"))).unionByName(close.select(F.col("y").alias("s"))).distinct().join(nodes, "s").select("row.number")
     sketches = materialize(profiles.join(members, "number").select("s", "doc_id", "text_hash", "sketch"), "sketches")
-    first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).distinct()
+    first = shared.where("s <> low").select(F.col("s").alias("x"), F.col("low").alias("y")).unionByName(close).distinct()
     chosen = sketches.select("doc_id", "text_hash")
     # Few candidates go to the texts; else the texts are dealt by row.
     chosen = F.broadcast(chosen) if chosen.count() <= FEW_ROWS else chosen

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from phrasemill.llm import secrets_scan
+from phrasemill.llm import secrets_scan, simhash
 from tests.llm.test_operators import shingles, union
 
 
@@ -55,3 +55,18 @@ def test_copies_are_told_apart_by_row(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("4", rows[0][1]), ("4", rows[1][1]), ("6", rows[3][1]), ("None", rows[5][1]), ("8", "")])
     for _, stage in (s for s in corpus_pipeline.STAGES if s[0] in ("secrets", "packing")):
         assert stage(spark, docs, "").select("doc_id").distinct().count() == 5
+
+
+def test_near_copies_come_from_fingerprints_first(spark, monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:1500], "new", *words[1501:]]), "quite another text with words of its own", "", None]
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    assert [simhash.fingerprint_of(h) & (1 << 64) - 1 for h in sets] == [simhash.simhash(t, 5) for t in texts]
+    prints = spark.createDataFrame([(k, simhash.fingerprint_of(h)) for k, h in enumerate(sets)], "s bigint, fp bigint")
+    assert sorted(tuple(r) for r in simhash.fingerprint_pairs(prints, 4).collect()) == [(1, 0), (4, 3)]
+    radii = []
+    links = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, radius, pairs=False: radii.append(radius) or links(nodes, radius, pairs))
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id int, text string, lang string, source string, n_chars int")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [0, 2, 3]
+    assert radii == [4]
