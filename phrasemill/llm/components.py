@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffled
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _are_stars(links: DataFrame) -> bool:
     """Whether each node has one link, to a node that has none down itself: then b is the smallest node of a's component."""
     several = links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    chained = links.select(F.col("b").alias("a")).distinct().join(links.select("a"), "a", "left_semi")
+    chained = links.select(F.col("b").alias("a")).distinct().join(shuffled(links.select("a")), "a", "left_semi")
     return several.unionByName(chained).isEmpty()
 
 
@@ -55,9 +55,9 @@ def components(edges: DataFrame) -> DataFrame:
     while not _are_stars(links):
         both = _both_ways(links)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(shuffled(least), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(shuffled(least), "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         links = materialize(small, "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

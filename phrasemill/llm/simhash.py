@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, map_texts, materialize
+from .common import join_groups, map_texts, materialize, shuffled
 from .components import components, spanning
 
 SEED = 42
@@ -140,7 +140,7 @@ def near_links(nodes: DataFrame, radius: int, pairs: bool = False) -> DataFrame:
     keys = F.explode(F.array(*[F.struct((F.col("g") * len(tables) + t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)]))
     keyed = nodes.select("g", "fp", keys.alias("x")).select("g", "fp", "x.t", "x.k")
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(sizes, ["t", "k"]), "buckets")
+    shared = materialize(keyed.join(shuffled(sizes), ["t", "k"]), "buckets")
 
     def compare(batches):
         found: dict[int, tuple[list, list]] = {}
@@ -208,10 +208,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
     prints = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
     found = components(near_links(nodes.select("fp"), radius).select("a", "b"))
-    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("root"))
+    roots = nodes.join(shuffled(found.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("root"))
     roots = materialize(roots, "roots")
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = materialize(roots.join(least, "root").select("fp", "n", "component_id"), "labels")
+    labels = materialize(roots.join(shuffled(least), "root").select("fp", "n", "component_id"), "labels")
     return join_groups(prints, labels, "fp", "n", prints.count()).select("doc_id", "fp", "component_id")
 
 

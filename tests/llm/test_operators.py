@@ -167,6 +167,25 @@ def test_covering_misses_no_link(spark, monkeypatch, radius, bucket, pairs):
     assert {r["node"]: r["component"] for r in found} == {x: find(x) for x in signed if find(x) != x}
 
 
+def test_groups_send_no_table_that_grows_to_the_driver(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, name):
+        out = write(df, name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", recorded)
+    monkeypatch.setattr(components, "materialize", recorded)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 3}") for i in range(60)], "doc_id bigint, text string")
+    found = simhash.near_duplicates(docs, words=4)
+    assert plans and not [p for p in plans if "Broadcast" in p]
+    # Heavy groups, of which there are 1,000 at most, are the only ones.
+    last = found._jdf.queryExecution().executedPlan().toString()
+    assert last.count("SortMergeJoin") == 1 and found.count() == 60
+
+
 def shingles(text, k=5):
     words = text.encode().lower().split()
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
