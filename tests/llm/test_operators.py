@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -477,6 +478,29 @@ def test_score_keeps_every_ngram_beyond_the_filter(spark, sf, texts, monkeypatch
         assert r["base_score"] == pytest.approx(base[r["doc_id"]][3], rel=1e-9)
 
 
+def test_scores_beyond_the_filter_write_little(spark, monkeypatch):
+    paths, new_path = [], ngram_lm.new_path
+    monkeypatch.setattr(ngram_lm, "new_path", lambda spark, name: paths.append(new_path(spark, name)) or paths[-1])
+    monkeypatch.setattr(ngram_lm, "FILTER_BYTES", 1 << 12)
+    monkeypatch.setattr(ngram_lm, "CHUNK", 1 << 15)
+    folder = "/root/testdata/sf0.01"
+    assert queries.op5_ngram_score(spark, folder).count() == 1000
+    size = lambda p: sum(os.path.getsize(f"{p}/{f}") for f in os.listdir(p) if f.endswith(".parquet"))
+    # Counts and the pairs of each text took seven times the input, chunks and answers take less than twice as much.
+    assert sum(map(size, paths)) < 2.5 * os.path.getsize(f"{folder}/documents.parquet")
+
+
+def test_score_by_segments_of_odd_texts_is_that_of_counts(spark, odd, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "FILTER_BYTES", 1)
+    for training in (F.col("doc_id") % 2 == 0, F.lit(False)):
+        model, rest = ngram_lm.train(odd.where(training))
+        want = sorted(ngram_lm.score(odd, model, rest).collect(), key=repr)
+        got = sorted(ngram_lm.score_by_segments(odd, training).collect(), key=repr)
+        assert [r[:4] for r in got] == [r[:4] for r in want]
+        assert [x for r in got for x in r[4:]] == pytest.approx([x for r in want for x in r[4:]], rel=1e-9)
+    assert ngram_lm.score_by_segments(odd.where("false"), F.lit(True)).count() == 0
+
+
 def test_scores_of_the_filter_are_near_those_of_exact_levels(spark, sf, texts, monkeypatch):
     got = {r["doc_id"]: r for r in queries.op5_ngram_score(spark, sf).collect()}
     monkeypatch.setattr(ngram_lm, "FILTER_BYTES", 1 << 12)
